@@ -118,6 +118,13 @@ def known_around(
     cut = df.withColumn("_blk", _block(time, block_seconds))
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(time).alias("at"), F.col(c).alias("v")))
              for c in columns}
+    # Times and values are summed up apart: fixed-width buffers keep the aggregation hash-based.
+    at = {c: F.when(F.col(c).isNotNull(), F.col(time)) for c in columns}
+
+    def summary_row(side: str, c: str) -> Column:
+        found = F.col(f"_{side}a_{c}")
+        return F.when(found.isNotNull(), F.struct(found.alias("at"), F.col(f"_{side}v_{c}").alias("v")))
+
     series, block = Window.partitionBy(*keys), Window.partitionBy(*keys, "_blk")
     earlier = series.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     later = series.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
@@ -125,14 +132,14 @@ def known_around(
     for c in columns:
         if previous:
             run = block.orderBy(time).rowsBetween(Window.unboundedPreceding, 0 if previous == "at" else -1)
-            sums.append(F.max_by(known[c], F.when(F.col(c).isNotNull(), F.col(time))).alias(f"_last_{c}"))
-            carried.append(F.last(f"_last_{c}", True).over(earlier).alias(f"_in_{c}"))
+            sums += [F.max(at[c]).alias(f"_la_{c}"), F.max_by(c, at[c]).alias(f"_lv_{c}")]
+            carried.append(F.last(summary_row("l", c), True).over(earlier).alias(f"_in_{c}"))
             local.append(F.coalesce(F.last(known[c], True).over(run), F.col(f"_in_{c}")).alias(f"{c}_prev"))
         if following:
             run = block.orderBy(F.desc(time)).rowsBetween(
                 Window.unboundedPreceding, 0 if following == "at" else -1)
-            sums.append(F.min_by(known[c], F.when(F.col(c).isNotNull(), F.col(time))).alias(f"_first_{c}"))
-            carried.append(F.last(f"_first_{c}", True).over(later).alias(f"_out_{c}"))
+            sums += [F.min(at[c]).alias(f"_fa_{c}"), F.min_by(c, at[c]).alias(f"_fv_{c}")]
+            carried.append(F.last(summary_row("f", c), True).over(later).alias(f"_out_{c}"))
             local.append(F.coalesce(F.last(known[c], True).over(run), F.col(f"_out_{c}")).alias(f"{c}_next"))
     summary = cut.groupBy(*keys, "_blk").agg(*sums).select(*keys, "_blk", *carried)
     return cut.join(summary, [*keys, "_blk"]).select(*df.columns, *local)

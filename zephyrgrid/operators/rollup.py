@@ -33,12 +33,10 @@ def _summaries(columns: Sequence[str]) -> list[Column]:
 def _full_calendar(rolled: DataFrame, keys: Sequence[str], bucket: str, step: int) -> DataFrame:
     """Add the empty buckets between a series' first and last: sums 0, the rest NULL."""
     bounds = rolled.groupBy(*keys).agg(F.min(bucket).alias("_from"), F.max(bucket).alias("_to"))
-    anchored = time_spine(
-        bounds.select(*keys, "_from", "_to"), keys, "_from", "_to", bucket, DAY)
+    carried = bounds.withColumn("_first", F.col("_from"))
+    anchored = time_spine(carried, [*keys, "_first"], "_from", "_to", bucket, DAY)
     if step != DAY:
-        first = bounds.select(*keys, "_from")
-        anchored = anchored.join(first, list(keys)).filter(
-            F.datediff(bucket, "_from") % (step // DAY) == 0).drop("_from")
+        anchored = anchored.filter(F.datediff(bucket, "_first") % (step // DAY) == 0)
     zero = {c: 0.0 for c in SUMMED if c in rolled.columns}
     joined = anchored.join(rolled, [*keys, bucket], "left").select(*rolled.columns)
     return joined.na.fill(zero) if zero else joined

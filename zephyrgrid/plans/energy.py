@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timeaxis import day_of, hour_of, shift
+from ..functions.timeaxis import day_of, shift
 from ..operators import energy
-from ..operators.blocks import previous_row
-from ..operators.rollup import daily_mean
 from ..sources.driver_tables import FUELS, RENEWABLE, Tables
 from .catalog import query
 
@@ -147,7 +145,7 @@ with mean as (select date_trunc('hour', period) as hour, avg(value) as avg_price
   select zone, period, value, avg_price, value - avg_price as price_deviation from price
   join mean on date_trunc('hour', period) = hour where abs(value - avg_price) > 10""", "value avg_price price_deviation")
 def congestion(t: Tables):
-    return energy.congestion(t.price())
+    return energy.congestion(t.staged("price"))
 
 
 @query("latest_per_zone", """select id, arg_max(temp, ("time", event_id)) as temp, arg_max(wspd, ("time", event_id)) as wspd,
@@ -209,13 +207,14 @@ with ahead as (select zone, period + interval 1 day as period, value as day_ahea
   from price full join ahead using (zone, period)""", "real_time day_ahead spread")
 def dam_rt_spread(t: Tables):
     """The day-ahead price is the price of the day before."""
-    ahead = t.price().withColumn("period", shift("period", 86400))
-    return energy.price_spread(t.price(), ahead)
+    price = t.staged("price")
+    return energy.price_spread(price, price.withColumn("period", shift("period", 86400)))
 
 
 def _load_forecasts(t: Tables):
-    day = t.load().select("zone", shift("period", 86400).alias("period"), F.col("value").alias("forecast"), F.lit("day").alias("ahead"))
-    week = t.load().select("zone", shift("period", 7 * 86400).alias("period"), F.col("value").alias("forecast"), F.lit("week").alias("ahead"))
+    load = t.staged("load")
+    day = load.select("zone", shift("period", 86400).alias("period"), F.col("value").alias("forecast"), F.lit("day").alias("ahead"))
+    week = load.select("zone", shift("period", 7 * 86400).alias("period"), F.col("value").alias("forecast"), F.lit("week").alias("ahead"))
     return day.unionByName(week)
 
 
@@ -227,7 +226,7 @@ with f as (select zone, period + interval 1 day as period, value as forecast, 'd
     (forecast - value) / value * 100 as pct_error from load join f using (zone, period)""",
        "actual forecast error abs_error pct_error")
 def load_forecast_error(t: Tables):
-    return energy.load_forecast_error(t.load(), _load_forecasts(t))
+    return energy.load_forecast_error(t.staged("load"), _load_forecasts(t))
 
 
 @query("interface_flows", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timeaxis import from_epoch, hour_of, shift
+from ..functions.timeaxis import hour_of, shift
 from ..models import seasonal_naive
 from ..operators import grid
 from ..sources.driver_tables import Tables
@@ -58,7 +58,7 @@ near as (select *, """ + ", ".join(
     f"else p{c}.v + (n{c}.v - p{c}.v) * (p - p{c}.a) / (n{c}.a - p{c}.a) end as {c}" for c in ("wpgt", "tsun"))
     + " from near", "wpgt tsun")
 def interpolate_rows(t: Tables):
-    return grid.interpolate_rows(t.hourly().select("id", "time", "wpgt", "tsun"), ["id"], "time", ["wpgt", "tsun"])
+    return grid.interpolate_rows(t.staged("hourly").select("id", "time", "wpgt", "tsun"), ["id"], "time", ["wpgt", "tsun"])
 
 
 FREQUENCY = """

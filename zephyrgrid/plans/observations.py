@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timeaxis import day_of, from_epoch, hour_of, shift
+from ..functions.timeaxis import day_of, hour_of, shift
 from ..functions.weather import feels_like, sky_class, wind_u, wind_v
 from ..operators import clean, grid, rollup
 from ..operators.blocks import time_blocks
@@ -193,10 +193,11 @@ def append_history_dedup(t: Tables):
   select unique_id as region_id, model as model_type, ds as "timestamp", case when model = 'naive_24' then y else yhat end
     as predicted_value from paired""", "predicted_value")
 def replace_forecasts(t: Tables):
-    stored = t.paired().select(
+    paired = t.staged("paired")
+    stored = paired.select(
         F.col("unique_id").alias("region_id"), F.col("model").alias("model_type"), F.col("ds").alias("timestamp"),
         F.col("yhat").alias("predicted_value"))
-    rerun = t.paired().filter(F.col("model") == "naive_24").select(
+    rerun = paired.filter(F.col("model") == "naive_24").select(
         F.col("unique_id").alias("region_id"), F.col("model").alias("model_type"), F.col("ds").alias("timestamp"),
         F.col("y").alias("predicted_value"))
     return merge.replace_groups(stored, rerun, ["region_id", "model_type"])
@@ -210,7 +211,7 @@ with stored as (select unique_id as region_id, model as model_type, avg(abs(yhat
     case when model_type = 'naive_1' then rows else mae end as metric_value from stored""", "metric_value")
 def replace_metrics(t: Tables):
     keys = [F.col("unique_id").alias("region_id"), F.col("model").alias("model_type")]
-    p = t.paired()
+    p = t.staged("paired")
     stored = p.groupBy(*keys).agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("metric_value")).withColumn(
         "metric_name", F.lit("mae"))
     rerun = p.filter(F.col("model") == "naive_1").groupBy(*keys).agg(
@@ -226,11 +227,11 @@ def replace_metrics(t: Tables):
     select unique_id, model, avg(abs(yhat - y)) as mae from paired group by 1, 2)""", "total")
 def export_csv(t: Tables):
     """Four tables to CSV, read back and summed."""
-    metrics = t.paired().groupBy("unique_id", "model").agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("mae"))
+    metrics = t.staged("paired").groupBy("unique_id", "model").agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("mae"))
     parts = {
         "regions": (t.zones().select("zone", "n_nationkey"), "n_nationkey"),
         "history": (t.obs().select("id", "time", "temp"), "temp"),
-        "forecasts": (t.paired().select("unique_id", "ds", "model", "yhat"), "yhat"),
+        "forecasts": (t.staged("paired").select("unique_id", "ds", "model", "yhat"), "yhat"),
         "metrics": (metrics, "mae"),
     }
     paths = files.export_csv({n: df for n, (df, _) in parts.items()}, scratch_path(t.spark, "export"))

@@ -63,7 +63,7 @@ def circular_mean(t: Tables):
 
 @query("daily_mean", "select unique_id, date_trunc('day', ds) as ds, avg(y) as y from series group by 1, 2", "y")
 def daily_mean(t: Tables):
-    return rollup.daily_mean(t.series())
+    return rollup.daily_mean(t.hourly_mean())
 
 
 @query("coverage", """

@@ -199,7 +199,7 @@ ends as (select unique_id, model, min(r) as lo, (max(r) - min(r)) / 20 as width
     any_value(lo + least(19, floor((r - lo) / width)) * width) as bin_start
   from e join ends using (unique_id, model) group by 1, 2, 3""", "bin_start")
 def residual_hist(t: Tables):
-    return metrics.histogram(metrics.residuals(t.paired()), ["unique_id", "model"], "residual", 20)
+    return metrics.histogram(metrics.residuals(t.staged("paired")), ["unique_id", "model"], "residual", 20)
 
 
 PROBS = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
@@ -208,7 +208,7 @@ PROBS = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 @query("residual_quantiles", "select unique_id, model, " + ", ".join(
     f"quantile_cont(y - yhat, {p}) as {n}" for n, p in PROBS.items()) + " from paired group by 1, 2", " ".join(PROBS))
 def residual_quantiles(t: Tables):
-    return metrics.quantile_table(metrics.residuals(t.paired()), ["unique_id", "model"], "residual", PROBS)
+    return metrics.quantile_table(metrics.residuals(t.staged("paired")), ["unique_id", "model"], "residual", PROBS)
 
 
 @query("residual_acf", f"""
@@ -218,7 +218,7 @@ with res as (select unique_id, row_number() over (partition by unique_id order b
 ---
   select unique_id, cast(lag as int) as lag, acf from acf""", "acf")
 def residual_acf(t: Tables):
-    left = metrics.residuals(t.paired().filter(F.col("model") == "naive_24"))
+    left = metrics.residuals(t.staged("paired").filter(F.col("model") == "naive_24"))
     return stats.acf(left.select("unique_id", "ds", F.col("residual").alias("y")), 24)
 
 
@@ -236,7 +236,7 @@ q as (select unique_id, quantile_cont(y - yhat, 0.1) as l80, quantile_cont(y - y
   select unique_id, ds, yhat, 80 as level, yhat + l80 as lo, yhat + h80 as hi from f join q using (unique_id)
   union all select unique_id, ds, yhat, 95, yhat + l95, yhat + h95 from f join q using (unique_id)""", "yhat lo hi")
 def error_bounds(t: Tables):
-    fitted = t.paired().filter(F.col("model") == "naive_24")
+    fitted = t.staged("paired").filter(F.col("model") == "naive_24")
     return metrics.error_bounds(fitted.select("unique_id", "ds", "yhat"), fitted)
 
 
@@ -256,7 +256,7 @@ with w as (select unique_id, model, 1 / (sqrt(avg((yhat - y) * (yhat - y))) + 1e
   select unique_id, ds, sum(w * yhat) / sum(w) as yhat, count(*) as n_models
   from paired join w using (unique_id, model) group by 1, 2""", "yhat")
 def ensemble(t: Tables):
-    p = t.paired()
+    p = t.staged("paired")
     return metrics.ensemble(p, metrics.metrics_wide(p).select("unique_id", "model", "rmse"))
 
 
@@ -268,7 +268,7 @@ with w as (select unique_id, model, horizon_step, 1 / (sqrt(avg((yhat - y) * (yh
   from paired join w using (unique_id, model, horizon_step) group by 1, 2, 3""", "yhat")
 def ensemble_by_horizon(t: Tables):
     by = ["unique_id", "horizon_step"]
-    p = t.paired()
+    p = t.staged("paired")
     return metrics.ensemble(p, metrics.metrics_wide(p, [*by, "model"]).select(*by, "model", "rmse"), by)
 
 
@@ -281,7 +281,7 @@ w as (select unique_id, model, 1 / (sqrt(sum(fade * (yhat - y) * (yhat - y)) / s
   select unique_id, ds, sum(w * yhat) / sum(w) as yhat, count(*) as n_models
   from paired join w using (unique_id, model) group by 1, 2""", "yhat")
 def ensemble_recent(t: Tables):
-    p = t.paired()
+    p = t.staged("paired")
     return metrics.ensemble(p, metrics.recent_rmse(p, 48))
 
 

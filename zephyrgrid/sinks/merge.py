@@ -8,41 +8,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeaxis import DAY, day_of, shift
 from ..operators.clean import nan_to_null
 
 
-def pick_row(df: DataFrame, keys: Sequence[str], order: Column, last: bool = True) -> DataFrame:
-    """One row per key: the last (first) by ``order``, which must tell the copies of a key apart."""
-    rest = [c for c in df.columns if c not in keys]
+def pick_row(df: DataFrame, keys: Sequence[str], rank: str, last: bool = True) -> DataFrame:
+    """One row per key: the last (first) by the whole number ``rank``, different for all copies of a key.
+
+    Each column is picked by itself at the same rank, which keeps the aggregation hash-based.
+    """
     choose = F.max_by if last else F.min_by
-    return df.groupBy(*keys).agg(choose(F.struct(*rest), order).alias("_row")).select(
-        *keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    rest = [c for c in df.columns if c not in (*keys, rank)]
+    return df.groupBy(*keys).agg(*[choose(c, rank).alias(c) for c in rest])
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Last write wins on every non-key column; ``seq`` orders the incoming rows of a key."""
     columns = [c for c in stored.columns if c != seq]
-    old = stored.select(*columns).withColumn("_rank", F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("s")))
-    new = nan_to_null(incoming).select(
-        *columns, F.struct(F.lit(1).alias("n"), F.col(seq).cast("bigint").alias("s")).alias("_rank"))
-    return pick_row(old.unionByName(new), keys, F.col("_rank")).select(*columns)
+    old = stored.select(*columns).withColumn("_rank", F.lit(-(1 << 63)).cast("bigint"))
+    new = nan_to_null(incoming).select(*columns, F.col(seq).cast("bigint").alias("_rank"))
+    return pick_row(old.unionByName(new), keys, "_rank").select(*columns)
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """First write wins: stored rows stay, new keys are added once (their first incoming row)."""
-    first = pick_row(incoming, keys, F.col(seq), last=False)
+    first = pick_row(incoming, keys, seq, last=False)
     fresh = first.join(stored.select(*keys), list(keys), "left_anti")
     return stored.unionByName(fresh.select(*stored.columns))
 
 
 def append_deduplicated(stored: DataFrame, fetched: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Append a fetch that starts at the last stored time without repeating that row."""
-    fresh = pick_row(fetched, keys, F.struct(*[c for c in fetched.columns if c not in keys]), last=False)
-    fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
+    fresh = fetched.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
     return stored.unionByName(fresh.select(*stored.columns))
 
 

@@ -15,7 +15,7 @@ from ..functions.timeaxis import hour_of
 from ..functions.weather import circular_mean
 from ..operators.blocks import row_blocks, with_position
 from ..operators.grid import complete_grid
-from ..session import configure
+from ..session import configure, stage
 
 FUELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 RENEWABLE = ["ECONOMY", "SMALL"]
@@ -25,8 +25,17 @@ RULES = {"temp": F.avg, "dwpt": F.avg, "rhum": F.avg, "prcp": F.sum, "snow": F.m
 
 
 class Tables:
+    """Views for one query. Roll-ups that a plan reads more than once are staged as small tables."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = configure(spark), folder
+        self._staged: dict[str, DataFrame] = {}
+
+    def staged(self, name: str) -> DataFrame:
+        """The named view as a table written once per query."""
+        if name not in self._staged:
+            self._staged[name] = stage(getattr(self, name)(), name.strip("_"))
+        return self._staged[name]
 
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -57,14 +66,15 @@ class Tables:
             *[fn(m).alias(m) for m, fn in RULES.items()])
 
     def hourly_full(self) -> DataFrame:
-        return complete_grid(self.hourly(), ["id"], "time")
+        return complete_grid(self.staged("hourly"), ["id"], "time")
 
-    def series(self) -> DataFrame:
+    def hourly_mean(self) -> DataFrame:
         return self.obs().groupBy(F.col("id").alias("unique_id"), hour_of("time").alias("ds")).agg(
             F.avg("temp").alias("y"))
 
-    def series_full(self) -> DataFrame:
-        return complete_grid(self.series(), ["unique_id"], "ds")
+    def series(self) -> DataFrame:
+        """Hourly mean temperature per series, in the models' long form."""
+        return self.staged("hourly_mean")
 
     def zones(self) -> DataFrame:
         r = F.broadcast(self.raw("region"))  # five fixed rows

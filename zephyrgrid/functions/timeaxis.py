@@ -22,7 +22,12 @@ def from_epoch(c) -> Column:
 
 def bucket(c, seconds: int) -> Column:
     """Start of the fixed-length bucket holding ``c``."""
-    return from_epoch(F.floor(epoch(c) / F.lit(seconds)) * F.lit(seconds))
+    return from_epoch(floor_to(epoch(c), seconds))
+
+
+def floor_to(number: Column, step: int) -> Column:
+    """The multiple of ``step`` at or below a whole number, in whole-number arithmetic."""
+    return number - F.pmod(number, F.lit(step).cast("bigint"))
 
 
 def hour_of(c) -> Column:

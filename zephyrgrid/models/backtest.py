@@ -22,7 +22,8 @@ def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season:
         elif model == seasonal_ar.NAME:
             path = seasonal_ar.predict(seasonal_ar.fit(series, season, plan), series, season, plan.h, plan)
         elif model == weekly_sequence.NAME:
-            path = weekly_sequence.predict(weekly_sequence.fit(series, plan), series, plan.h, plan)
+            scaled = weekly_sequence.scale(series)
+            path = weekly_sequence.predict(weekly_sequence.fit(scaled, plan), scaled, plan.h, plan)
         else:
             raise ValueError(f"unknown model {model}")
         tests = test_rows(numbered(series), plan)

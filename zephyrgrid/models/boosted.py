@@ -18,7 +18,7 @@ from ..functions.timeaxis import shift
 from ..operators.features import feature_names, model_features
 from ..operators.metrics import percent_bounds
 from ..schema import LAGS, ROLLING
-from ..session import cut_lineage
+from ..session import cut_lineage, stage
 from .folds import FULL, numbered, tails
 
 NAME = "BoostedTrees"
@@ -36,7 +36,7 @@ def _coded(df: DataFrame) -> DataFrame:
 
 def train(series: DataFrame, freq: str = "H", trees: int = 100, depth: int = 6, rate: float = 0.1,
           sample: float = 0.8, seed: int = 42) -> PipelineModel:
-    rows = _coded(model_features(series, freq, include_current=False))
+    rows = stage(_coded(model_features(series, freq, include_current=False)).select(*inputs(freq), "y"), "features")
     assembler = VectorAssembler(inputCols=inputs(freq), outputCol="features")
     ready = assembler.transform(rows).select("features", "y")
     gbt = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="yhat", maxIter=trees, maxDepth=depth,
@@ -67,15 +67,14 @@ def forecast(model: PipelineModel, series: DataFrame, h: int, step: int, freq: s
     ends = tails(numbered(series), FULL, depth).filter(F.size("tail") == depth)
     state = _coded(ends.select("unique_id", F.col("cutoff").alias("last_ds"), "tail",
                                F.array().cast("array<double>").alias("path")))
-    carried = ["unique_id", "series_code", "last_ds", "tail", "path"]
+    derived = _tail_features(freq) | calendar_parts("ds") | cyclical_parts("ds", freq != "D")
+    advance = [
+        "unique_id", "series_code", "last_ds", F.slice(F.concat(F.array("yhat"), "tail"), 1, depth).alias("tail"),
+        F.concat("path", F.array("yhat")).alias("path"),
+    ]
     for s in range(1, h + 1):
-        at = state.withColumn("ds", shift("last_ds", s * step))
-        rows = at.withColumns(_tail_features(freq) | calendar_parts("ds") | cyclical_parts("ds", freq != "D"))
-        state = model.transform(rows).select(
-            "unique_id", "series_code", "last_ds",
-            F.slice(F.concat(F.array("yhat"), "tail"), 1, depth).alias("tail"),
-            F.concat("path", F.array("yhat")).alias("path"),
-        ).select(*carried)
+        rows = state.withColumn("ds", shift("last_ds", s * step)).withColumns(derived)
+        state = model.transform(rows).select(*advance)
         if s % CUT_EVERY == 0 and s < h:
             state = cut_lineage(state)
     out = state.select("unique_id", "last_ds", F.posexplode("path").alias("i", "yhat")).select(

@@ -33,7 +33,7 @@ class Forecaster:
         elif self.model == boosted.NAME:
             self.params = boosted.train(series, self.freq, **self.options)
         elif self.model == weekly_sequence.NAME:
-            self.params = weekly_sequence.fit(series)
+            self.params = weekly_sequence.fit(weekly_sequence.scale(series))
         elif self.model != seasonal_naive.NAME:
             raise ValueError(f"unknown model {self.model}")
         return self
@@ -55,7 +55,7 @@ class Forecaster:
         elif self.model == boosted.NAME:
             self.result = boosted.forecast(self.params, self.series, h, step, self.freq)
         elif self.model == weekly_sequence.NAME:
-            self.result = weekly_sequence.forecast(self.series, h, levels)
+            self.result = weekly_sequence.forecast(self.series, h, levels, self.params)
         else:
             self.result = seasonal_naive.forecast(self.series, h, step, self.season)
         return self.result

@@ -13,6 +13,7 @@ from ..functions.timeaxis import DAY, shift
 from ..operators.blocks import attach, exact_quantiles, row_blocks
 from ..operators.clean import minmax_scale
 from ..operators.stats import gram_columns
+from ..session import stage
 from .common import FORECAST_COLUMNS, ridge
 from .folds import FULL, FoldPlan, numbered, tails
 
@@ -21,8 +22,10 @@ LENGTH = 7
 _X = [f"x{k}" for k in range(1, LENGTH + 1)]
 
 
-def _scaled(daily: DataFrame) -> DataFrame:
-    return minmax_scale(daily.filter(F.col("y").isNotNull()), ["unique_id"], "y", ["ds"])
+def scale(daily: DataFrame) -> DataFrame:
+    """Daily values in [0, 1] per series, as a staged table: every later step starts from it."""
+    scaled = minmax_scale(daily.filter(F.col("y").isNotNull()), ["unique_id"], "y", ["ds"])
+    return stage(scaled.select("unique_id", "ds", "y", "scaled", "lo", "span"), "scaled-days")
 
 
 def _rows(scaled: DataFrame, plan: FoldPlan) -> DataFrame:
@@ -32,9 +35,9 @@ def _rows(scaled: DataFrame, plan: FoldPlan) -> DataFrame:
     return lagged.withColumn("one", F.lit(1.0)).withColumn("segment", plan.segment()).na.drop("any", subset=_X)
 
 
-def fit(daily: DataFrame, plan: FoldPlan = FULL, penalty: float = 1e-3) -> DataFrame:
+def fit(scaled: DataFrame, plan: FoldPlan = FULL, penalty: float = 1e-3) -> DataFrame:
     """Coefficients (constant, then lags 1..7) per series and fold, with the scale they refer to."""
-    rows = _rows(_scaled(daily), plan)
+    rows = _rows(scaled, plan)
     names = ["one", *_X, "scaled"]
     sums = rows.filter(F.col("segment") < plan.n_windows).groupBy("unique_id", "segment").agg(
         *gram_columns(names), F.min("lo").alias("lo"), F.min("span").alias("span"))
@@ -63,9 +66,9 @@ def fit(daily: DataFrame, plan: FoldPlan = FULL, penalty: float = 1e-3) -> DataF
         solve, "unique_id string, fold int, n_obs bigint, coef array<double>, sigma2 double, lo double, span double")
 
 
-def predict(params: DataFrame, daily: DataFrame, h: int = 7, plan: FoldPlan = FULL) -> DataFrame:
+def predict(params: DataFrame, scaled: DataFrame, h: int = 7, plan: FoldPlan = FULL) -> DataFrame:
     """Recursive path in the scaled space (``scaled``) and undone (``yhat``)."""
-    ends = tails(numbered(_scaled(daily)), plan, LENGTH, "scaled")
+    ends = tails(numbered(scaled), plan, LENGTH, "scaled")
     ready = params.join(ends, ["unique_id", "fold"])
 
     def run(batches):
@@ -88,20 +91,22 @@ def predict(params: DataFrame, daily: DataFrame, h: int = 7, plan: FoldPlan = FU
              " lo_y double, span double")
 
 
-def fitted_errors(daily: DataFrame, params: DataFrame) -> DataFrame:
+def fitted_errors(scaled: DataFrame, params: DataFrame) -> DataFrame:
     """One-step errors on the training rows, scaled, row by row."""
-    rows = _rows(_scaled(daily), FULL).drop("lo", "span")
+    rows = _rows(scaled, FULL).drop("lo", "span")
     joined = attach(rows, params.filter(F.col("fold") == 0).select("unique_id", "coef"), ["unique_id"], ["pos"], "inner")
     guess = sum((F.col("coef")[k] * F.col(x) for k, x in enumerate(_X, 1)), F.col("coef")[0])
     return joined.select("unique_id", (F.col("scaled") - guess).alias("e"))
 
 
-def forecast(daily: DataFrame, h: int = 7, levels: Sequence[int] = (80, 95)) -> DataFrame:
+def forecast(daily: DataFrame, h: int = 7, levels: Sequence[int] = (80, 95),
+             params: DataFrame | None = None) -> DataFrame:
     """Bounds are error percentiles around each step, clamped to the scale's range before undoing it."""
-    params = fit(daily)
-    path = predict(params, daily, h)
+    scaled = scale(daily)
+    params = stage(fit(scaled) if params is None else params, "weekly-params")
+    path = predict(params, scaled, h)
     probs = {f"{side}_{lv}": (100 + sign * lv) / 200 for lv in levels for side, sign in (("lo", -1), ("hi", 1))}
-    bounds = exact_quantiles(fitted_errors(daily, params), ["unique_id"], "e", probs)
+    bounds = exact_quantiles(fitted_errors(scaled, params), ["unique_id"], "e", probs)
 
     def bound(name: str):
         clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("scaled") + F.col(name)))

@@ -21,14 +21,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeaxis import WEEK, epoch
+from ..functions.timeaxis import WEEK, epoch, floor_to
+from ..session import stage
 
 BLOCK_ROWS = 16384
 SALTS = 16
 
 
 def _block(time: str, seconds: int) -> Column:
-    return F.floor(epoch(time) / F.lit(seconds))
+    return floor_to(epoch(time), seconds)
 
 
 def with_position(
@@ -64,12 +65,12 @@ def row_blocks(
     Each block gets a copy of the rows its first and last frames reach, and drops them afterwards.
     """
     size = max(block_rows, back, ahead)
-    home = F.floor(F.col(pos) / size)
-    within = F.col(pos) % size
+    home = floor_to(F.col(pos), size)
+    within = F.col(pos) - home
     copies = F.array_compact(F.array(
         home,
-        F.when(within >= size - back, home + 1),
-        F.when((within < ahead) & (home > 0), home - 1),
+        F.when(within >= size - back, home + size),
+        F.when((within < ahead) & (home > 0), home - size),
     ))
     spread = df.withColumn("_home", home).withColumn("_blk", F.explode(copies))
     window = Window.partitionBy(*keys, "_blk").orderBy(pos)
@@ -88,12 +89,12 @@ def time_blocks(
 ) -> DataFrame:
     """Evaluate trailing windows over the last ``back_seconds``; order is epoch seconds."""
     size = max(block_seconds, back_seconds)
-    home = F.floor(F.col("_sec") / size)
-    late = F.col("_sec") % size >= size - back_seconds
+    home = floor_to(F.col("_sec"), size)
+    late = F.col("_sec") - home >= size - back_seconds
     spread = (
         df.withColumn("_sec", epoch(time))
         .withColumn("_home", home)
-        .withColumn("_blk", F.explode(F.array_compact(F.array(home, F.when(late, home + 1)))))
+        .withColumn("_blk", F.explode(F.array_compact(F.array(home, F.when(late, home + size)))))
     )
     window = Window.partitionBy(*keys, "_blk").orderBy("_sec")
     made = [expr.alias(name) for name, expr in exprs(window).items()]
@@ -172,13 +173,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one output column per entry of ``probs``.
 
-    Equal values are counted first. A sketch of bounded size cuts them into buckets of about equal
-    depth, bucket counts give each bucket's starting rank, and ranks are taken inside a bucket only.
+    Equal values are counted first, into a staged table because three steps read it. A sketch of bounded
+    size cuts them into buckets of about equal depth, bucket counts give each bucket's starting rank, and
+    ranks are taken inside a bucket only.
     """
     keys = list(keys)
-    counted = (
+    counted = stage(
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts"
     )
     steps = [i / buckets for i in range(1, buckets)]
     cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", steps, 10000).alias("_cuts"))

@@ -35,7 +35,6 @@ spine as (
   select id, unnest(generate_series(min("time"), max("time"), interval 1 hour)) as "time" from hourly group by id),
 hourly_full as (select * from spine left join hourly using (id, "time")),
 series as (select id as unique_id, "time" as ds, temp as y from hourly),
-series_full as (select id as unique_id, "time" as ds, temp as y from hourly_full),
 numbered as (
   select *, row_number() over (partition by unique_id order by ds) - 1 as pos,
     count(*) over (partition by unique_id) as n from series),

@@ -8,6 +8,7 @@ from ..models import backtest, boosted, fourier_trend, seasonal_ar, seasonal_nai
 from ..models.folds import FoldPlan
 from ..models.forecaster import model_summary
 from ..operators.rollup import daily_mean
+from ..session import stage
 from ..sources.driver_tables import Tables
 from .catalog import query
 from .grids import NAIVE_FORECAST
@@ -65,7 +66,7 @@ def components(t: Tables):
 
 @query("weekly_seq_forecast")
 def weekly_seq_forecast(t: Tables):
-    return weekly_sequence.forecast(daily_mean(t.series()), 7)
+    return weekly_sequence.forecast(daily_mean(t.hourly_mean()), 7)
 
 
 @query("gbt_forecast")
@@ -107,7 +108,7 @@ def backtest_models(t: Tables):
 
 @query("backtest_weekly")
 def backtest_weekly(t: Tables):
-    return backtest.evaluate(daily_mean(t.series()), [weekly_sequence.NAME], FoldPlan(3, 3, 3), freq="D")
+    return backtest.evaluate(stage(daily_mean(t.hourly_mean()), "days"), [weekly_sequence.NAME], FoldPlan(3, 3, 3), freq="D")
 
 
 @query("model_summary", """

@@ -6,8 +6,6 @@ so results do not depend on the partitioning. Wind directions stay within half a
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,5 +157,3 @@ class Tables:
             F.struct(kind.alias("type"), F.array(rings).alias("coordinates")).alias("geometry"))
         return named.select("c_custkey", F.to_json(feature).alias("value"))
 
-
-TWO_PI = 2 * math.pi

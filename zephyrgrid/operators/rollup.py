@@ -98,6 +98,6 @@ def anomaly(obs: DataFrame, keys: Sequence[str], time: str, column: str) -> Data
 
 def trailing_trend(obs: DataFrame, time: str, column: str, bucket: Column, hours: int = 24) -> DataFrame:
     """Mean over all regions per bucket for the last ``hours`` before the latest reading."""
-    latest = obs.agg(F.max(time).alias("_latest"))  # one row
-    recent = obs.join(F.broadcast(latest)).filter(F.col(time) > shift("_latest", -hours * 3600))
+    latest = obs.agg(F.max(time)).scalar()
+    recent = obs.filter(F.col(time) > shift(latest, -hours * 3600))
     return recent.groupBy(bucket.alias("hour")).agg(F.avg(column).alias(column), F.count(column).alias("n"))

@@ -47,7 +47,17 @@ def seasonal_ar_forecast(t: Tables):
     return seasonal_ar.forecast(t.series(), 24, STEP, 24)
 
 
-@query("ar2_d1_fit")
+@query("ar2_d1_fit", """
+with l as (select unique_id, pos, y, lag(y, 1) over w as l1, lag(y, 2) over w as l2, lag(y, 3) over w as l3
+  from numbered window w as (partition by unique_id order by ds)),
+d as (select unique_id, y - l1 as d, l1 - l2 as a, l2 - l3 as b from l where pos >= 25),
+g as (select unique_id, count(*) as n, sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * d) as ad,
+  sum(b * d) as bd, sum(d * d) as dd from d group by 1),
+f as (select *, (ad * bb - bd * ab) / (aa * bb - ab * ab) as u, (bd * aa - ad * ab) / (aa * bb - ab * ab) as v from g),
+e as (select *, dd - u * ad - v * bd as rss from f)
+---
+  select unique_id, n as n_obs, 1 + u as l1, v - u as l2, -v as l3, rss / (n - 2) as sigma2,
+    n * ln(rss / n) + 6 + 24.0 / (n - 4) as aicc, 'd1:1,2' as form from e""", "l1 l2 l3 sigma2 aicc")
 def ar2_d1_fit(t: Tables):
     fitted = seasonal_ar.fixed_order(t.series(), (1, 2), 1)
     return fitted.select("unique_id", "n_obs", F.col("coef")[1].alias("l1"), F.col("coef")[2].alias("l2"),

@@ -111,6 +111,20 @@ def adf_lag0_stat(t: Tables):
     return stats.adf_lag0(t.series())
 
 
+@query("adf_stat", f"""
+with l as (select unique_id, y - lag(y, 1) over w as d, lag(y, 1) over w as x, lag(y, 1) over w - lag(y, 2) over w as e
+  from series window {W}),
+g as (select unique_id, count(*) as n, regr_sxx(d, x) as xx, regr_sxx(d, e) as ee, regr_sxy(e, x) as xe,
+  regr_sxy(d, x) as xd, regr_sxy(d, e) as ed, regr_syy(d, x) as dd from l where e is not null group by 1),
+f as (select *, (xd * ee - ed * xe) / (xx * ee - xe * xe) as gamma, (ed * xx - xd * xe) / (xx * ee - xe * xe) as b from g)
+---
+  select unique_id, n as n_obs, gamma,
+    gamma / sqrt((dd - gamma * xd - b * ed) / (n - 3) * ee / (xx * ee - xe * xe)) as adf_stat,
+    -2.86154 - 2.8903 / n - 4.234 / pow(n, 2) - 40.04 / pow(n, 3) as crit_5 from f""", "gamma adf_stat crit_5")
+def adf_stat(t: Tables):
+    return stats.adf(t.series(), 1).select("unique_id", "n_obs", "gamma", "adf_stat", "crit_5")
+
+
 @query("adf")
 def adf(t: Tables):
     return stats.adf(t.series(), 1)

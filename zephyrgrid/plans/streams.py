@@ -6,19 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions.timeaxis import hour_of
 from ..session import scratch_path
+from ..sinks import tables
 from ..sinks.merge import upsert
 from ..sources.driver_tables import Tables
 from ..streaming import jobs
 from .catalog import query
 
-QUARTERS = F.round(F.col("value") * 4) / 4
-
 
 def _readings(t: Tables):
     schema = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
     stream = jobs.landed_stream(t.spark, t.folder, schema, name_filter="events.parquet")
     return stream.select(F.col("event_type").alias("id"), F.col("ts").cast("timestamp").alias("time"), "event_id",
-                         "user_id", QUARTERS.alias("temp"), (F.floor("value") / 8).alias("prcp"))
+                         "user_id", (F.round(F.col("value") * 4) / 4).alias("temp"), (F.floor("value") / 8).alias("prcp"))
 
 
 @query("stream_hourly", """select id, date_trunc('hour', "time") as window_start, avg(temp) as temp, sum(prcp) as prcp,
@@ -46,14 +45,16 @@ def stream_upsert(t: Tables):
     """Repeated deliveries are dropped, then each batch is merged by (id, hour)."""
     twice = _readings(t)
     once = jobs.deduplicated(twice.unionByName(twice), ["event_id"], "time", "30 days")
-    table = jobs.VersionedTable(t.spark, scratch_path(t.spark, "upsert"), _schema("id string, time timestamp_ntz, temp double"))
+    schema, path = _schema("id string, time timestamp_ntz, temp double"), scratch_path(t.spark, "upsert")
+    tables.create_history(t.spark, path, schema)
 
     def write(batch, batch_id):
         rows = batch.select("id", hour_of("time").alias("time"), "temp", "event_id")
-        table.merge(rows, batch_id, lambda old, new: upsert(old, new, ["id", "time"], "event_id"))
+        tables.merge_history(t.spark, path, schema, rows, "id", "time",
+                             lambda old, new: upsert(old, new, ["id", "time"], "event_id"))
 
     jobs.run_batches(once, write, "upsert", "append")
-    return table.read()
+    return tables.read_history(t.spark, path, schema).drop(tables.PARTITION)
 
 
 @query("stream_latest", """select id, max("time") as "time", arg_max(temp, "time") as temp, arg_max(event_id, "time") as event_id

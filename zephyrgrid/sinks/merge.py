@@ -74,8 +74,14 @@ def touched_days(new_rows: DataFrame, keys: Sequence[str], time: str) -> DataFra
 
 def incremental_rollup(stored_daily: DataFrame, all_rows: DataFrame, new_rows: DataFrame,
                        keys: Sequence[str], time: str, rollup) -> DataFrame:
-    """Recompute only the days the new rows touch; other days are taken from the stored roll-up."""
+    """Recompute only the days the new rows touch; other days are taken from the stored roll-up.
+
+    With rows stored by date (an ``obs_date`` column) only the partitions of touched days are read.
+    """
     days = touched_days(new_rows, keys, time)
+    if "obs_date" in all_rows.columns:
+        dates = days.select(F.col("day").cast("date").alias("obs_date")).distinct()
+        all_rows = all_rows.join(dates, "obs_date", "left_semi").drop("obs_date")
     redo = all_rows.withColumn("day", day_of(time)).join(days, [*keys, "day"], "left_semi").drop("day")
     kept = stored_daily.join(days, [*keys, "day"], "left_anti")
     return kept.unionByName(rollup(redo).select(*stored_daily.columns))
@@ -83,6 +89,5 @@ def incremental_rollup(stored_daily: DataFrame, all_rows: DataFrame, new_rows: D
 
 def retain(df: DataFrame, time: str, days: int) -> DataFrame:
     """Rows no older than ``days`` before the newest row."""
-    newest = df.agg(F.max(time).alias("_newest"))  # one row
-    return df.join(F.broadcast(newest)).filter(
-        F.col(time) >= shift("_newest", -days * DAY)).drop("_newest")
+    newest = df.agg(F.max(time)).scalar()
+    return df.filter(F.col(time) >= shift(newest, -days * DAY))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
+
 PARTITION = "obs_date"
 
 
@@ -33,6 +35,37 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(full).parquet(path)
 
 
+def create_history(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty dated table, unless there is one."""
+    full = T.StructType(schema.fields + [T.StructField(PARTITION, T.DateType())])
+    spark.createDataFrame([], full).write.mode("append").partitionBy(PARTITION).parquet(path)
+
+
+def merge_history(spark: SparkSession, path: str, schema: T.StructType, incoming: DataFrame, region: str, time: str,
+                  merge: Callable[[DataFrame, DataFrame], DataFrame], salts: int = 1) -> None:
+    """Merge rows into a dated table: only the dates they touch are read and rewritten.
+
+    The merged dates are staged first, so nothing is overwritten while it is read; merges that can be
+    repeated make the whole step repeatable after a failure.
+    """
+    dates = incoming.select(F.col(time).cast("date").alias(PARTITION)).distinct()
+    current = read_history(spark, path, schema).join(dates, PARTITION, "left_semi").drop(PARTITION)
+    merged = merge(current, incoming).select(*schema.names)
+    write_history(stage(merged, "merged-dates"), path, region, time, salts=salts)
+
+
+def replace_partitions(incoming: DataFrame, path: str, keys: Sequence[str], salts: int = 1) -> None:
+    """Replace whole groups, such as the forecasts of a (region, model): other groups are not touched.
+
+    Deletes and inserts in one write; a group that is too large for one writer is spread by ``salts``.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c in incoming.columns if c not in keys]), F.lit(salts))
+    (
+        incoming.repartition(*keys, spread).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    )
+
+
 def select_dates(history: DataFrame, time: str, start, end) -> DataFrame:
     """Inclusive time range that also prunes date partitions."""
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
@@ -62,7 +95,7 @@ def drop_old_dates(history: DataFrame, oldest: str) -> DataFrame:
 def columns_only(df: DataFrame, schema: T.StructType, renames: dict[str, str]) -> DataFrame:
     """Project known columns to a table's schema; absent ones are NULL."""
     named = df.withColumnsRenamed(renames)
-    cols: Sequence = [
+    cols = [
         (F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]

@@ -64,12 +64,12 @@ def test_row_blocks(uneven, rows):
 def test_known_around(uneven, size):
     df, pdf = uneven
     got = collect(blocks.known_around(df, ["id"], "ds", ["y"], block_seconds=size).select(
-        "id", "sec", F.col("y_prev.v").alias("p"), F.col("y_next.v").alias("n")))
+        "id", "sec", F.col("y_prev").alias("p"), F.col("y_next").alias("n")))
     g = pdf.groupby("id")["y"]
     pd.testing.assert_series_equal(got.p, g.ffill(), check_names=False)
     pd.testing.assert_series_equal(got.n, g.bfill(), check_names=False)
     strict = collect(blocks.known_around(df, ["id"], "ds", ["y"], "before", "after", size).select(
-        "id", "sec", F.col("y_prev.v").alias("p"), F.col("y_next.v").alias("n")))
+        "id", "sec", F.col("y_prev").alias("p"), F.col("y_next").alias("n")))
     pd.testing.assert_series_equal(strict.p, g.transform(lambda s: s.ffill().shift(1)), check_names=False)
     pd.testing.assert_series_equal(strict.n, g.transform(lambda s: s.bfill().shift(-1)), check_names=False)
 

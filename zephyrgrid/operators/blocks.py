@@ -109,39 +109,34 @@ def known_around(
     df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str],
     previous: str | None = "at", following: str | None = "at", block_seconds: int = WEEK,
 ) -> DataFrame:
-    """Add ``<c>_prev`` and ``<c>_next``: struct(at, v) of the nearest known value on either side.
+    """Add ``<c>_prev``, ``<c>_prev_at``, ``<c>_next``, ``<c>_next_at``: nearest known values and their times.
 
     ``previous`` is ``"at"`` (current row included), ``"before"`` or None; ``following`` is ``"at"``,
     ``"after"`` or None. Inside a block the last (first) known row is a running value; across blocks
-    the same running value over one summary row per block is carried in.
+    the same running value over one summary row per block is carried in. Columns that the caller does
+    not use are pruned together with their windows.
     """
     keys = list(keys)
     cut = df.withColumn("_blk", _block(time, block_seconds))
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(time).alias("at"), F.col(c).alias("v")))
-             for c in columns}
-    # Times and values are summed up apart: fixed-width buffers keep the aggregation hash-based.
-    at = {c: F.when(F.col(c).isNotNull(), F.col(time)) for c in columns}
-
-    def summary_row(side: str, c: str) -> Column:
-        found = F.col(f"_{side}a_{c}")
-        return F.when(found.isNotNull(), F.struct(found.alias("at"), F.col(f"_{side}v_{c}").alias("v")))
-
     series, block = Window.partitionBy(*keys), Window.partitionBy(*keys, "_blk")
-    earlier = series.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    later = series.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = (Window.unboundedPreceding, -1)
+    sides = {}
+    if previous:
+        run = block.orderBy(time).rowsBetween(Window.unboundedPreceding, 0 if previous == "at" else -1)
+        sides["prev"] = (F.max, F.max_by, run, series.orderBy("_blk").rowsBetween(*so_far))
+    if following:
+        run = block.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0 if following == "at" else -1)
+        sides["next"] = (F.min, F.min_by, run, series.orderBy(F.desc("_blk")).rowsBetween(*so_far))
     sums, carried, local = [], [], []
-    for c in columns:
-        if previous:
-            run = block.orderBy(time).rowsBetween(Window.unboundedPreceding, 0 if previous == "at" else -1)
-            sums += [F.max(at[c]).alias(f"_la_{c}"), F.max_by(c, at[c]).alias(f"_lv_{c}")]
-            carried.append(F.last(summary_row("l", c), True).over(earlier).alias(f"_in_{c}"))
-            local.append(F.coalesce(F.last(known[c], True).over(run), F.col(f"_in_{c}")).alias(f"{c}_prev"))
-        if following:
-            run = block.orderBy(F.desc(time)).rowsBetween(
-                Window.unboundedPreceding, 0 if following == "at" else -1)
-            sums += [F.min(at[c]).alias(f"_fa_{c}"), F.min_by(c, at[c]).alias(f"_fv_{c}")]
-            carried.append(F.last(summary_row("f", c), True).over(later).alias(f"_out_{c}"))
-            local.append(F.coalesce(F.last(known[c], True).over(run), F.col(f"_out_{c}")).alias(f"{c}_next"))
+    for side, (extreme, extreme_by, run, blocks_before) in sides.items():
+        for c in columns:
+            at = F.when(F.col(c).isNotNull(), F.col(time))
+            # Times and values apart: fixed-width buffers keep the aggregation hash-based.
+            sums += [extreme_by(c, at).alias(f"_v_{side}_{c}"), extreme(at).alias(f"_t_{side}_{c}")]
+            for what, local_value, out in (("v", F.col(c), f"{c}_{side}"), ("t", at, f"{c}_{side}_at")):
+                name = f"_{what}_{side}_{c}"
+                carried.append(F.last(name, True).over(blocks_before).alias(f"_in{name}"))
+                local.append(F.coalesce(F.last(local_value, True).over(run), F.col(f"_in{name}")).alias(out))
     summary = cut.groupBy(*keys, "_blk").agg(*sums).select(*keys, "_blk", *carried)
     return cut.join(summary, [*keys, "_blk"]).select(*df.columns, *local)
 
@@ -152,7 +147,7 @@ def previous_row(
     """Add the columns of the row before, in time order, whether or not they are NULL there."""
     packed = df.withColumn("_row", F.struct(*columns))
     out = known_around(packed, keys, time, ["_row"], "before", None)
-    return out.select(*df.columns, *[F.col(f"_row_prev.v.{c}").alias(f"{prefix}{c}") for c in columns])
+    return out.select(*df.columns, *[F.col(f"_row_prev.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
 def attach(

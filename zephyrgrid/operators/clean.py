@@ -44,7 +44,7 @@ def fill(
     around = known_around(df, keys, time, columns, "at" if forward else None, "at" if backward else None)
     sides = [s for s, on in (("prev", forward), ("next", backward)) if on]
     return around.select(*[
-        F.coalesce(*[F.col(f"{c}_{s}.v") for s in sides]).alias(c) if c in columns else F.col(c)
+        F.coalesce(*[F.col(f"{c}_{s}") for s in sides]).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
 

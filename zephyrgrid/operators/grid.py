@@ -37,11 +37,11 @@ def complete_grid(df: DataFrame, keys: Sequence[str], time: str, step: int = HOU
     return time_spine(bounds, keys, "_from", "_to", time, step).join(df, [*keys, time], "left").select(*df.columns)
 
 
-def _lerp(prev: Column, nxt: Column, at: Column) -> Column:
-    """Straight line between two struct(at, v); held after the last known value."""
-    span = (epoch(nxt["at"]) - epoch(prev["at"])).cast("double")
-    share = (epoch(at) - epoch(prev["at"])) / span
-    return F.when(nxt.isNull(), prev["v"]).otherwise(prev["v"] + (nxt["v"] - prev["v"]) * share)
+def _lerp(c: str, at: Column) -> Column:
+    """Straight line between the known values around a time; held after the last one."""
+    prev, prev_at, nxt, next_at = (F.col(f"{c}_{part}") for part in ("prev", "prev_at", "next", "next_at"))
+    share = (epoch(at) - epoch(prev_at)) / (epoch(next_at) - epoch(prev_at)).cast("double")
+    return F.when(nxt.isNull(), prev).otherwise(prev + (nxt - prev) * share)
 
 
 def regrid(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str],
@@ -59,19 +59,18 @@ def regrid(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]
     ).groupBy(*keys, time).agg(*[F.max(c).alias(c) for c in every])
     marked = snapped.withColumn("_here", F.col(time))
     around = known_around(marked, keys, time, [*every, "_here"], "at", "after")
-    until = F.coalesce(shift(F.col("_here_next.v"), -step), F.col(time))
+    until = F.coalesce(shift(F.col("_here_next"), -step), F.col(time))
     points = around.withColumn(
         "_t", F.explode(F.sequence(epoch(time), epoch(until), F.lit(step).cast("bigint")))
     ).withColumn("_at", from_epoch("_t"))
 
     def value(c: str) -> Column:
         exact = (F.col("_at") == F.col(time)) & F.col(c).isNotNull()
-        return F.when(exact, F.col(c).cast("double")).otherwise(
-            _lerp(F.col(f"{c}_prev"), F.col(f"{c}_next"), F.col("_at")))
+        return F.when(exact, F.col(c).cast("double")).otherwise(_lerp(c, F.col("_at")))
 
     return points.select(
         *keys, F.col("_at").alias(time), *[value(c).alias(c) for c in columns],
-        *[F.coalesce(F.col(f"{c}_prev.v"), F.col(f"{c}_next.v")).alias(c) for c in text_columns],
+        *[F.coalesce(F.col(f"{c}_prev"), F.col(f"{c}_next")).alias(c) for c in text_columns],
     )
 
 
@@ -85,7 +84,7 @@ def interpolate_rows(df: DataFrame, keys: Sequence[str], time: str, columns: Seq
     around = known_around(packed, keys, time, [f"_{c}" for c in columns])
 
     def value(c: str) -> Column:
-        a, b = F.col(f"_{c}_prev.v"), F.col(f"_{c}_next.v")
+        a, b = F.col(f"_{c}_prev"), F.col(f"_{c}_next")
         share = (F.col("pos") - a["p"]) / (b["p"] - a["p"]).cast("double")
         return (F.when(F.col(c).isNotNull(), F.col(c)).when(b.isNull(), a["x"])
                 .otherwise(a["x"] + (b["x"] - a["x"]) * share))

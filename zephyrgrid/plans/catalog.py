@@ -47,7 +47,7 @@ load as (
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
 price as (
   select n_name as zone, cast(l_shipdate as timestamp) as period,
-    cast(sum(cast(l_extendedprice as decimal(18, 2))) as double) / sum(l_quantity) as value
+    floor(cast(sum(cast(l_extendedprice as decimal(18, 2))) * 100 as double) / sum(l_quantity)) / 100 as value
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2),
 generation as (
   select n_name as zone, cast(l_shipdate as timestamp) as period, p_type as fueltype, sum(l_quantity) as value

@@ -99,11 +99,8 @@ def reserve_margin(t: Tables):
     sum(l_quantity) filter (l_linestatus = 'F') as NR
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2""")
 def reserves(t: Tables):
-    daily = t.raw("lineitem").groupBy("l_suppkey", "l_linestatus", F.col("l_shipdate").alias("period")).agg(
-        F.sum("l_quantity").alias("value"))
-    readings = daily.join(t._supplier_zone(), "l_suppkey").withColumn(
-        "kind", F.when(F.col("l_linestatus") == "O", "SR").otherwise("NR"))
-    return energy.reserves(readings)
+    kind = F.when(F.col("l_linestatus") == "O", "SR").otherwise("NR")
+    return energy.reserves(t.sales().select("zone", "period", kind.alias("kind"), F.col("l_quantity").alias("value")))
 
 
 @query("zones_by_state", f"""with {BRIDGE}
@@ -124,10 +121,8 @@ def prefix_match(t: Tables):
     cast(sum(cast(l_extendedprice as decimal(18, 2))) as double) / sum(l_quantity) as price
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2""", "price")
 def price_trend(t: Tables):
-    sold = t.raw("lineitem").groupBy("l_suppkey", F.col("l_shipdate").alias("period")).agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid"), F.sum("l_quantity").alias("units"))
-    revenue, sales = F.sum("paid").cast("double"), F.sum("units")
-    return energy.history(sold.join(t._supplier_zone(), "l_suppkey"), "monthly", [
+    revenue, sales = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"), F.sum("l_quantity")
+    return energy.history(t.sales(), "monthly", [
         revenue.alias("revenue"), sales.alias("sales"), (revenue / sales).alias("price")])
 
 

@@ -81,48 +81,43 @@ class Tables:
             F.col("r_name").alias("state"), "n_name", "n_nationkey")
 
     def load(self) -> DataFrame:
-        """Daily load by customer nation; orders are summed per customer and day before the join."""
-        daily = self.raw("orders").groupBy("o_custkey", F.col("o_orderdate").alias("period")).agg(
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
-        c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
-        n = self.raw("nation").select("n_nationkey", F.col("n_name").alias("zone"))
-        return daily.join(c, "o_custkey").join(n, "n_nationkey").groupBy("zone", "period").agg(
-            F.sum("v").cast("double").alias("value"))
-
-    def _supplier_zone(self) -> DataFrame:
+        """Daily load by customer nation."""
+        n = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("zone"))
+        c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(n, "c_nationkey")
+        return self.raw("orders").join(c, "o_custkey").groupBy("zone", F.col("o_orderdate").alias("period")).agg(
+            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"))
+
+    def supplier_zone(self) -> DataFrame:
         n = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("zone"))
         return self.raw("supplier").select("s_suppkey", "s_nationkey").join(n, "s_nationkey").select(
             F.col("s_suppkey").alias("l_suppkey"), "zone")
 
+    def sales(self) -> DataFrame:
+        """Lines with their supplier's nation. Fact-to-dimension joins leave hot keys to the skew join."""
+        return self.raw("lineitem").withColumnRenamed("l_shipdate", "period").join(self.supplier_zone(), "l_suppkey")
+
     def price(self) -> DataFrame:
-        """Mean price per unit by supplier nation and day."""
-        daily = self.raw("lineitem").groupBy("l_suppkey", F.col("l_shipdate").alias("period")).agg(
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid"), F.sum("l_quantity").alias("units"))
-        return daily.join(self._supplier_zone(), "l_suppkey").groupBy("zone", "period").agg(
-            (F.sum("paid").cast("double") / F.sum("units")).alias("value"))
+        """Mean price per unit by supplier nation and day, in whole cents."""
+        cents = (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")) * 100).cast("double")
+        return self.sales().groupBy("zone", "period").agg((F.floor(cents / F.sum("l_quantity")) / 100).alias("value"))
 
     def generation(self) -> DataFrame:
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("fueltype"))
-        daily = self.raw("lineitem").groupBy("l_partkey", "l_suppkey", F.col("l_shipdate").alias("period")).agg(
+        return self.sales().join(parts, "l_partkey").groupBy("zone", "period", "fueltype").agg(
             F.sum("l_quantity").alias("value"))
-        fuel = daily.join(parts, "l_partkey").groupBy("l_suppkey", "fueltype", "period").agg(F.sum("value").alias("value"))
-        return fuel.join(self._supplier_zone(), "l_suppkey").groupBy("zone", "period", "fueltype").agg(
-            F.sum("value").alias("value"))
 
     def flows(self) -> DataFrame:
-        o = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
         n = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("to_zone"))
-        to = self.raw("customer").select("c_custkey", "c_nationkey").join(n, "c_nationkey").select("c_custkey", "to_zone")
-        lines = self.raw("lineitem").select("l_orderkey", "l_suppkey", F.col("l_shipdate").alias("period"), "l_quantity")
-        dated = lines.join(self._supplier_zone().withColumnRenamed("zone", "from_zone"), "l_suppkey").groupBy(
-            "l_orderkey", "from_zone", "period").agg(F.sum("l_quantity").alias("value"))
-        return dated.join(o, "l_orderkey").join(to, "c_custkey").groupBy("from_zone", "to_zone", "period").agg(
-            F.sum("value").alias("value"))
+        c = self.raw("customer").select("c_custkey", "c_nationkey").join(n, "c_nationkey").select("c_custkey", "to_zone")
+        o = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+        to = o.join(c, "c_custkey").select("l_orderkey", "to_zone")
+        return self.sales().withColumnRenamed("zone", "from_zone").join(to, "l_orderkey").groupBy(
+            "from_zone", "to_zone", "period").agg(F.sum("l_quantity").alias("value"))
 
     def capacity(self) -> DataFrame:
         """Sizes of the distinct parts each nation's suppliers shipped, by part type."""
         made = self.raw("lineitem").select("l_partkey", "l_suppkey").distinct().join(
-            self._supplier_zone(), "l_suppkey").select("zone", "l_partkey").distinct()
+            self.supplier_zone(), "l_suppkey").select("zone", "l_partkey").distinct()
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("fuel"), "p_size")
         return made.join(parts, "l_partkey").groupBy("zone", "fuel").agg(
             F.sum("p_size").cast("double").alias("capacity"))

@@ -74,9 +74,10 @@ def test_known_around(uneven, size):
     pd.testing.assert_series_equal(strict.n, g.transform(lambda s: s.bfill().shift(-1)), check_names=False)
 
 
-def test_previous_row_keeps_nulls(uneven):
+@pytest.mark.parametrize("size", SIZES)
+def test_previous_row_keeps_nulls(uneven, size):
     df, pdf = uneven
-    got = collect(blocks.previous_row(df, ["id"], "ds", ["y"]))
+    got = collect(blocks.previous_row(df, ["id"], "ds", ["y"], block_seconds=size))
     pd.testing.assert_series_equal(got.prev_y, pdf.groupby("id")["y"].shift(1), check_names=False)
 
 

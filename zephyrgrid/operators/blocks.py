@@ -143,11 +143,21 @@ def known_around(
 
 def previous_row(
     df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], prefix: str = "prev_",
+    block_seconds: int = WEEK,
 ) -> DataFrame:
-    """Add the columns of the row before, in time order, whether or not they are NULL there."""
-    packed = df.withColumn("_row", F.struct(*columns))
-    out = known_around(packed, keys, time, ["_row"], "before", None)
-    return out.select(*df.columns, *[F.col(f"_row_prev.{c}").alias(f"{prefix}{c}") for c in columns])
+    """Add the columns of the row before, in time order, whether or not they are NULL there.
+
+    Only the first row of a block needs another block: the last row of the one before, from the summary.
+    """
+    keys = list(keys)
+    cut = df.withColumn("_blk", _block(time, block_seconds))
+    over_blocks = Window.partitionBy(*keys).orderBy("_blk")
+    in_block = Window.partitionBy(*keys, "_blk").orderBy(time)
+    ends = cut.groupBy(*keys, "_blk").agg(*[F.max_by(c, time).alias(f"_end_{c}") for c in columns]).select(
+        *keys, "_blk", *[F.lag(f"_end_{c}").over(over_blocks).alias(f"_in_{c}") for c in columns])
+    opens = F.row_number().over(in_block) == 1
+    return cut.join(ends, [*keys, "_blk"]).select(*df.columns, *[
+        F.when(opens, F.col(f"_in_{c}")).otherwise(F.lag(c).over(in_block)).alias(f"{prefix}{c}") for c in columns])
 
 
 def attach(

@@ -21,7 +21,7 @@ def _error() -> Column:
 
 
 def metric_columns() -> dict[str, Column]:
-    """MAPE skips zero actuals; SMAPE is 200 |p - a| / (|p| + |a| + 1e-8)."""
+    """MAPE skips zero actuals; SMAPE is 200 |p - a| / (|p| + |a| + 1e-8); R2 of constant actuals is NULL."""
     e = _error()
     share = F.when(F.col("y") != 0, F.abs(e / F.col("y")))
     return {

@@ -163,7 +163,7 @@ def semi_ds(t: Tables):
 METRIC_SQL = """avg(abs(yhat - y)) as mae, avg(case when y <> 0 then abs((yhat - y) / y) end) * 100 as mape,
   avg((yhat - y) * (yhat - y)) as mse, sqrt(avg((yhat - y) * (yhat - y))) as rmse,
   avg(200 * abs(yhat - y) / (abs(yhat) + abs(y) + 1e-8)) as smape,
-  1 - sum((yhat - y) * (yhat - y)) / (var_pop(y) * count(y)) as r2"""
+  1 - sum((yhat - y) * (yhat - y)) / nullif(var_pop(y) * count(y), 0) as r2"""
 
 
 @query("forecast_metrics", f"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, sharding, url_rules
+from . import language_id, mixing, packing, quality, secrets, sharding, url_rules
 from ..session import configure
+from .text import crc32_text
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,6 +28,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc32_text(F.col("doc_id")) % 3 == 1)
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, model, ("doc_id", "held_out"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    pieces = packing.pack(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continues", "continued")
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The budget is the corpus's own number of tokens, so that large sources are cut and small ones repeat."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(docs, budget_tokens=mixing.token_total(docs))
+    return mixed.select("doc_id", "source", "__mix.*")
+
+
 @query("op5_url_rules", r"""
 with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 parts as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

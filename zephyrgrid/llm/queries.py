@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality, secrets, sharding, url_rules
+from . import jaccard, language_id, mixing, packing, quality, secrets, sharding, topk, url_rules
 from ..session import configure
 from .text import crc32_text
 
@@ -42,6 +42,18 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continues", "continued")
 
 
+@query("op3_topk", r"""
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+""")
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op4_mixing")
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The budget is the corpus's own number of tokens, so that large sources are cut and small ones repeat."""
@@ -67,6 +79,12 @@ def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, folder, "pages"), rules)
 
 
+@query("op6_jaccard")
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.jaccard_join(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @query("op7_secrets", r"""
 with t as (select doc_id, coalesce("text", '') as "text", source from documents),
 pats(kind, rank, pat) as (values

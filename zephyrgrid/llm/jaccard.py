@@ -142,8 +142,8 @@ def _fingerprints(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def document_sets(docs: DataFrame, id: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """id, n_shingles and the hash of the shingle set (null without words) of every row."""
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("text"))
+    """id, n_shingles, the hash of the shingle set (null without words) and text_hash of every row."""
+    rows = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("text_hash"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,9 +153,9 @@ def document_sets(docs: DataFrame, id: str, text: str, size: int = SHINGLE) -> D
                 doc, count, fp = _fingerprints(*shingle_sets(texts[part], size))
                 n[part.start + doc] = count
                 key[part.start + doc] = fp.view(np.int64)
-            yield pd.DataFrame({"__id": batch["__id"], "n_shingles": n, "class": pd.array(key, dtype="Int64")})
+            yield pd.DataFrame({"__id": batch["__id"], "n_shingles": n, "class": pd.array(key, dtype="Int64"), "text_hash": batch["text_hash"]})
 
-    return rows.mapInPandas(run, T.StructType([rows.schema["__id"], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())]))
+    return rows.mapInPandas(run, T.StructType([rows.schema["__id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "class", "text_hash")]]))
 
 
 def _pack48(h: np.ndarray) -> bytes:
@@ -388,7 +388,7 @@ def _verify(percent: int):
 
 
 def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Near-duplicate components: id, n_shingles, component_id, class, n_links.
+    """Near-duplicate components: id, n_shingles, component_id, n_links, class, label (smallest class in reach), text_hash.
 
     * Two rows are linked when 100 * intersection >= percent * union of their shingle sets. ``component_id`` is the
       smallest id within reach; ``n_links`` counts the linked rows, rows of the same set included.
@@ -425,13 +425,25 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         "label", F.coalesce("label", "class"))
     placed = stage(placed, "placed")
     firsts = placed.groupBy("label").agg(F.min("first").alias("component"))
-    found = stage(placed.join(firsts, "label").select("class", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "found")
+    found = stage(placed.join(firsts, "label").select("class", "label", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "found")
     return sets.join(found, "class", "left").select(
-        F.col("__id").alias(id), "n_shingles", F.coalesce("component", "__id").alias("component_id"), F.col("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.col("__id").alias(id), "n_shingles", F.coalesce("component", "__id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class", "label", "text_hash")
 
 
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: its row of the smallest id (of rows that share it, one)."""
-    found = jaccard_join(docs, id, text)
-    first = stage(found.groupBy("component_id").agg(F.count("*").alias("rows")).select(F.col("component_id").alias("__keep")), "kept")
-    return docs.join(first, F.col(f"`{id}`") == F.col("__keep"), "left_semi").dropDuplicates([id])
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of the smallest id (null ids last), and every text without words; all columns as they are.
+
+    Of rows with equal id and text one stays.
+    """
+    found = jaccard_join(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", size, percent)
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("hash"))).alias("k")
+    grouped = found.where(F.col("label").isNotNull()).groupBy("label").agg(one).select("k.id", "k.hash")
+    bare = found.where(F.col("label").isNull()).select("id", F.col("text_hash").alias("hash")).distinct()
+    keep = stage(grouped.union(bare).select(F.col("id").alias("__keep"), F.col("hash").alias("__hash")), "kept")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    key = F.col(columns[docs.columns.index(id)])
+    plain = plain.withColumns({"key": key, "hash": F.xxhash64(columns[docs.columns.index(text)])})
+    kept = plain.join(keep, plain["key"].eqNullSafe(keep["__keep"]) & (plain["hash"] == keep["__hash"]), "left_semi")
+    return kept.dropDuplicates(["key", "hash"]).select(*columns).toDF(*docs.columns)

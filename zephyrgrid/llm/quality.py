@@ -72,12 +72,12 @@ def measures(text: Column) -> Column:
 
 def failures() -> dict[str, Column]:
     """A document's failure of each rule, over its measures."""
-    mean = F.col("word_chars") / F.col("n_words")
+    low, high = WORD_CHARS_RANGE
     return {
         "base": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "symbols": F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words"),
         "lines": F.col("n_dup_lines") > MAX_DUP_LINES_PER_WORD * F.col("n_words"),
-        "lengths": (F.col("n_words") > 0) & ~mean.between(*WORD_CHARS_RANGE),
+        "lengths": (F.col("n_words") > 0) & ~F.col("word_chars").between(low * F.col("n_words"), high * F.col("n_words")),
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_id, mixing, packing, quality, secrets, sharding, topk, url_rules
+from . import jaccard, language_id, lm, mixing, packing, quality, secrets, sharding, topk, url_rules
 from ..session import configure
 from .text import crc32_text
 
@@ -118,6 +118,13 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         secrets.listed(F.col("spans")).alias("spans"), F.col("examples").alias("n_examples"))
 
 
+@query("op8_log_bilinear")
+def op8_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = crc32_text(F.col("doc_id")) % 7 == 2
+    scored = lm.score_documents(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op9_quality", r"""
 with t as (select row_number() over () as r, doc_id, source as host, coalesce("text", '') as "text" from documents),
 w as (select r, doc_id, host, "text", list_filter(string_split_regex("text", '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,

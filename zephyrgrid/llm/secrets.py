@@ -116,3 +116,24 @@ def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(F.sort_array(spans), start, step, rest)).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", count: str | None = "n_chars",
+                     mark: str = MARK) -> DataFrame:
+    """All rows with their columns as they are, every span of the text replaced by a mark and the characters counted anew.
+
+    Texts without spans and null texts stay untouched.
+    """
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    found = scan_secrets(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{owner}`").alias("owner")), "id", "text", "owner")
+    found = stage(found.where(F.size("spans") > 0).select(F.col("id").alias("key"), F.col("text_hash").alias("hash"), "spans").dropDuplicates(["key", "hash"]), "found")
+    plain = docs.toDF(*columns)
+    joined = plain.join(found, F.col(at[id]).eqNullSafe(F.col("key")) & (F.xxhash64(whole(at[text])) == F.col("hash")), "left")
+    fresh = F.when(F.col("spans").isNotNull(), redact(F.col(at[text]), F.col("spans"), mark)).otherwise(F.col(at[text]))
+    joined = joined.withColumn("fresh", fresh)
+    new = {at[text]: F.col("fresh")}
+    if count in at:
+        kind = dict(plain.dtypes)[at[count]]
+        new[at[count]] = F.when(F.col("spans").isNotNull(), F.length("fresh").cast(kind)).otherwise(F.col(at[count]))
+    return joined.withColumns(new).select(*columns).toDF(*docs.columns)

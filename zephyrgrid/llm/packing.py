@@ -143,6 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     totals = tokens.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect()
     before = np.concatenate([[0], np.cumsum([r["n"] for r in totals])])[:-1]
     bases = spark.createDataFrame([(r["task"], int(b)) for r, b in zip(totals, before, strict=True)], "task int, base long")
+    bases = stage(bases.coalesce(1), "bases")  # a file has a size by which Spark decides on a broadcast
     first = F.col("base") + F.col("place")
     placed = tokens.where("n > 0").join(bases, "task").withColumn("first", first)
     span = F.sequence(F.floor(F.col("first") / length), F.floor((F.col("first") + F.col("n") - 1) / length))

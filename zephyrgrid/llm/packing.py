@@ -8,7 +8,7 @@ stream, which is cut into windows of fixed length; a document that crosses a cut
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +23,8 @@ from ..session import stage
 LENGTH = 2048
 END_ID = 1
 SLICE_ROWS = 500
+# Visible characters that NFC leaves alone and that lower case maps one by one.
+LATIN = re.compile("[\x21-\x7e\xa1-\xff]+")
 
 
 class WordEncoder:
@@ -34,11 +36,15 @@ class WordEncoder:
     model, all others go through the whole tokenizer. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, definition: str, memory: int = 250_000) -> None:
+    def __init__(self, definition: str, memory: int = 300_000) -> None:
         from tokenizers import Tokenizer
-        self.tokenizer, self.memory = Tokenizer.from_str(definition), memory
-        self.words, self.pieces = _Memory(self._word, memory), _Memory(self._piece, memory)
+        from tokenizers.pre_tokenizers import ByteLevel
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
+        self.words, self.pieces = _Memory(self._word, memory), _Memory(self._piece, memory // 2)
         self.pattern = self._word_pattern(json.loads(definition))
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xA1, 0x100)}
 
     @staticmethod
     def _word_pattern(parts: dict) -> regex.Pattern | None:
@@ -49,7 +55,7 @@ class WordEncoder:
         by_word = (
             [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("content") == " "
             and steps[1].get("pattern") == {"Regex": r"\s+"} and [s["type"] for s in splits] == ["Split", "ByteLevel"]
-            and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True and r"[^\s" in str(splits[0].get("pattern"))
+            and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True and r"[^\s" in splits[0].get("pattern", {}).get("Regex", "")
             and not splits[1].get("add_prefix_space") and not any(" " in t or "\n" in t for t in added))
         return regex.compile(splits[0]["pattern"]["Regex"]) if by_word else None
 
@@ -57,17 +63,16 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        from tokenizers.pre_tokenizers import ByteLevel
-        spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(piece)[0][0]
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.translate(self.spelling))])
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and LATIN.fullmatch(word):
+            return self.pieces[word.lower()]
         if not word:
             return b""
-        plain = "<|" not in word and all("\x21" <= c <= "\x7e" or "\xa1" <= c <= "\xff" for c in word)
-        if not plain:
+        if "<|" in word or not LATIN.fullmatch(word):
             return self._encode(word)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(unicodedata.normalize("NFC", word).lower())))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
 
     def __call__(self, text: str) -> bytes:
         if self.pattern is None:
@@ -76,15 +81,19 @@ class WordEncoder:
 
 
 class _Memory(dict):
-    """Computed values by key; emptied when it is full."""
+    """Computed values by key in two generations: when the young one is full it becomes the old one, and keys that are
+    asked for again come back, so frequent keys stay."""
 
     def __init__(self, make, limit: int) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value

@@ -23,11 +23,12 @@ from pyspark.sql import types as T
 
 from ..session import stage
 from .components import components
+from .text import bounded_batches
 
 SHINGLE = 5
 PERCENT = 75
 ORDERS = 3
-FLUSH_TOKENS = 2_500_000
+FLUSH_TOKENS = 1_000_000
 TILE = 512
 LIGHT = 12
 
@@ -36,7 +37,7 @@ BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 STEP = U(0xD6E8FEB86659FD93)
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -48,7 +49,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _segments(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    """Parts of about a megabyte, cut before white space."""
+    """Parts of about a quarter megabyte, cut before white space."""
     at = 0
     while at < len(raw):
         end = at + SEGMENT
@@ -115,11 +116,11 @@ def _lower(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
 
 
-def _slices(texts: list, limit: int = 1 << 21) -> Iterator[slice]:
-    """Runs of texts of about two megabytes."""
+def _slices(texts: list, limit: int = 1 << 19) -> Iterator[slice]:
+    """Runs of texts of about half a megabyte."""
     start, held = 0, 0
     for i, t in enumerate(texts):
-        held += len(t)
+        held += len(t or "")
         if held >= limit:
             yield slice(start, i + 1)
             start, held = i + 1, 0
@@ -147,10 +148,10 @@ def document_sets(docs: DataFrame, id: str, text: str, size: int = SHINGLE) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = _lower(batch["text"].tolist())
+            texts = batch["text"].tolist()
             n, key = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), None, dtype=object)
             for part in _slices(texts):
-                doc, count, fp = _fingerprints(*shingle_sets(texts[part], size))
+                doc, count, fp = _fingerprints(*shingle_sets(_lower(texts[part]), size))
                 n[part.start + doc] = count
                 key[part.start + doc] = fp.view(np.int64)
             yield pd.DataFrame({"__id": batch["__id"], "n_shingles": n, "class": pd.array(key, dtype="Int64"), "text_hash": batch["text_hash"]})
@@ -187,9 +188,9 @@ def _blobs(docs: DataFrame, text: str, parts: int, size: int) -> DataFrame:
         from pyspark import TaskContext
         batch, held, seen, tokens = TaskContext.get().partitionId() << 32, [], set(), 0
         for frame in batches:
-            texts = _lower(frame["text"].tolist())
+            texts = frame["text"].tolist()
             for part in _slices(texts):
-                doc, h = shingle_sets(texts[part], size)
+                doc, h = shingle_sets(_lower(texts[part]), size)
                 _, n, fp = _fingerprints(doc, h)
                 fresh = np.zeros(len(fp), dtype=bool)
                 for i, f in enumerate(fp.tolist()):
@@ -395,9 +396,10 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     * Null texts and texts without words have no set, no links and themselves as component. Repeated rows and equal sets
       form one class (null id: counted, and never the smallest). An empty table gives an empty result; other columns are
       not read.
-    * Bounds: a task holds one hash part (about 2.5 million shingles), one batch of as many, or two tiles of 512 classes.
+    * Bounds: a task holds one hash part (about a million shingles), one batch of as many, or two tiles of 512 classes.
       A group of copies travels once per batch; near copies are compared by tiles. Nothing but counters reaches the driver.
     """
+    bounded_batches(docs)
     sets = stage(document_sets(docs, id, text, size), "sets")
     total = int(sets.agg(F.sum("n_shingles")).first()[0] or 0)
     parts = max(64, -(-total // FLUSH_TOKENS))

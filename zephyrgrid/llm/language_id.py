@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .text import bounded_batches
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 # Zeros after every text: without them zstandard stores a short text as it is, whatever the dictionary has.
@@ -96,12 +98,14 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     * Memory: one Arrow batch and the dictionaries (languages x samples x sample_chars bytes).
     """
     names = [name for name, _ in model.dictionaries]
-    rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
+    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
+    source = f"__k{keep.index(text)}" if text in keep else "__text"  # a text that is kept travels once
+    rows = bounded_batches(docs).select(*kept, *([] if text in keep else [F.col(text).alias("__text")]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compressors = model.compressors()
         for batch in batches:
-            texts = batch.pop("__text").tolist()
+            texts = batch[source].tolist() if text in keep else batch.pop(source).tolist()
             label, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             if names:
                 sizes, known = _sizes(texts, compressors)
@@ -123,6 +127,5 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 def keep_known(docs: DataFrame, model: Model, text: str = "text", min_margin: float = 0.01) -> DataFrame:
     """The documents whose language is not rejected, with their own columns only, whatever their names."""
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*columns).withColumn("copy", F.col(columns[docs.columns.index(text)]))
-    kept = predict(plain, model, tuple(columns), "copy", min_margin).where(~F.col("rejected"))
+    kept = predict(docs.toDF(*columns), model, tuple(columns), columns[docs.columns.index(text)], min_margin).where(~F.col("rejected"))
     return kept.select(*columns).toDF(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .text import bounded_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -36,7 +37,7 @@ class WordEncoder:
     model, all others go through the whole tokenizer. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, definition: str, memory: int = 300_000) -> None:
+    def __init__(self, definition: str, memory: int = 200_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_str(definition)
@@ -118,7 +119,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "t
     """
     with open(tokenizer, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id).alias("__id"), F.col(text).alias("text"))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The white space that separates words.
 SPACE = r"\x20\x09-\x0D"
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2000
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -36,3 +38,10 @@ def byte_total(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts."""
     row = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()
     return int(row["n"] or 0)
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in bytes and rows: whole texts and packed rows are large."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df

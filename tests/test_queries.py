@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__ as e
+from zephyrgrid.plans import load_all
 from compare import compare, duck
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"gbt_forecast", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in e.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(load_all().QUERIES))
 def test_query(spark, con, name):
     problem, rows = compare(spark, con, name, e.queries()[name], e.oracle_sql().get(name), FOLDER)
     assert problem is None and rows > 0, problem

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from zephyrgrid.plans import load_all
 from zephyrgrid.plans.refresh import Store, refresh
 from zephyrgrid.schema import HOURLY, MEASURES
 from zephyrgrid.session import scratch_path
@@ -37,7 +38,7 @@ def test_refresh_twice(spark):
     assert set(MEASURES) <= set(history.columns)
 
 
-@pytest.mark.parametrize("name", [n for n in e.queries() if n not in PYTHON and not n.startswith("stream")])
+@pytest.mark.parametrize("name", [n for n in load_all().QUERIES if n not in PYTHON and not n.startswith("stream")])
 def test_plan_shape(spark, name):
     """Built-in expressions only, no comparison of all pairs, no window over a whole series."""
     plan = e.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

@@ -98,13 +98,17 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: str, probs: dict[s
 
 
 def error_bounds(forecast: DataFrame, fitted: DataFrame, levels: Sequence[int] = (80, 95)) -> DataFrame:
-    """Bounds from past errors: the forecast plus the error percentiles (100 - L) / 2 and its mirror."""
+    """Bounds from past errors: the forecast plus the error percentiles (100 - L) / 2 and its mirror.
+
+    Errors are those of the series and, where both sides name one, of the model.
+    """
+    keys = [c for c in ("unique_id", "model") if c in forecast.columns and c in fitted.columns]
     probs = {}
     for level in levels:
         probs[f"lo_{level}"], probs[f"hi_{level}"] = (100 - level) / 200, (100 + level) / 200
-    errors = fitted.select("unique_id", (F.col("y") - F.col("yhat")).alias("e"))
-    bounds = exact_quantiles(errors, ["unique_id"], "e", probs)
-    wide = attach(forecast, bounds, ["unique_id"], ["ds"])
+    errors = fitted.select(*keys, (F.col("y") - F.col("yhat")).alias("e"))
+    bounds = exact_quantiles(errors, keys, "e", probs)
+    wide = attach(forecast, bounds, keys, ["ds"])
     stacked = F.explode(F.array(*[
         F.struct(F.lit(level).alias("level"), (F.col("yhat") + F.col(f"lo_{level}")).alias("lo"),
                  (F.col("yhat") + F.col(f"hi_{level}")).alias("hi")) for level in levels

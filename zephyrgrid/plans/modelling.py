@@ -81,14 +81,13 @@ def weekly_seq_forecast(t: Tables):
 
 @query("gbt_forecast")
 def gbt_forecast(t: Tables):
-    """Fewer and shallower trees than the default keep the check short; all rows are used."""
-    model = boosted.train(t.series(), "H", trees=10, depth=4)
+    model = boosted.train(t.series(), "H")
     return boosted.forecast(model, t.series(), 24, STEP, "H")
 
 
 @query("feature_importance")
 def feature_importance(t: Tables):
-    return boosted.feature_importance(boosted.train(t.series(), "H", trees=10, depth=4), t.series(), "H")
+    return boosted.feature_importance(boosted.train(t.series(), "H"), t.series(), "H")
 
 
 @query("seasonal_naive_forecast", f"""with {NAIVE_FORECAST.strip()}
@@ -118,7 +117,7 @@ def backtest_models(t: Tables):
 
 @query("backtest_weekly")
 def backtest_weekly(t: Tables):
-    return backtest.evaluate(stage(daily_mean(t.hourly_mean()), "days"), [weekly_sequence.NAME], FoldPlan(3, 3, 3), freq="D")
+    return backtest.evaluate(stage(daily_mean(t.hourly_mean()), "days"), [weekly_sequence.NAME], FoldPlan(7, 7, 2), freq="D")
 
 
 @query("model_summary", """

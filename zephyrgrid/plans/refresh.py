@@ -41,12 +41,22 @@ class Store:
 
 
 def ingest(store: Store, landed: DataFrame, now, default_days: int = 365) -> DataFrame:
-    """Add the landed rows newer than each region's stored history; returns the rows added."""
+    """Add the landed rows newer than each region's stored history; returns the rows added.
+
+    The last stored row of each region is cleaned along with the fresh ones and left out again: gaps at the start of
+    a batch are filled from it, and a single new hour passes the two-row rule.
+    """
     tables.create_history(store.spark, store.path("history"), HOURLY)
     regions = landed.select("region_name").distinct()
     starts = grid.incremental_start(regions, store.history(), "region_name", "time", now, default_days)
     fresh = grid.incremental_fetch(landed, starts, "region_name", "time")
-    cleaned = clean_hourly(tables.columns_only(fresh, HOURLY, {}), ["region_name"], "time")
+    fresh = tables.columns_only(fresh, HOURLY, {})
+    stored = store.history().select(*HOURLY.names)
+    last = merge.pick_row(stored.withColumn("_rank", F.unix_micros(F.col("time").cast("timestamp"))), ["region_name"], "_rank").select(*HOURLY.names)
+    seeds = last.join(fresh.select("region_name").distinct(), "region_name", "left_semi")
+    old = seeds.select("region_name", "time")
+    both = seeds.unionByName(fresh.select(*HOURLY.names).join(old, ["region_name", "time"], "left_anti"))
+    cleaned = clean_hourly(both, ["region_name"], "time").join(old, ["region_name", "time"], "left_anti")
     added = stage(cleaned.select(*HOURLY.names), "added")
     tables.merge_history(
         store.spark, store.path("history"), HOURLY, added, "region_name", "time",

@@ -236,22 +236,22 @@ def residual_acf(t: Tables):
     return stats.acf(left.select("unique_id", "ds", F.col("residual").alias("y")), 24)
 
 
-@query("pct_bounds", """select unique_id, ds, yhat, yhat - abs(yhat) * 0.1 as lo, yhat + abs(yhat) * 0.1 as hi, 80 as level
-    from paired where model = 'naive_24'""", "yhat lo hi")
+@query("pct_bounds", """select unique_id, model, ds, yhat, yhat - abs(yhat) * 0.1 as lo, yhat + abs(yhat) * 0.1 as hi, 80 as level
+    from paired""", "yhat lo hi")
 def pct_bounds(t: Tables):
-    return metrics.percent_bounds(t.paired().filter(F.col("model") == "naive_24").select("unique_id", "ds", "yhat"))
+    return metrics.percent_bounds(t.paired().select("unique_id", "model", "ds", "yhat"))
 
 
 @query("error_bounds", """
-with f as (select unique_id, ds, y, yhat from paired where model = 'naive_24'),
-q as (select unique_id, quantile_cont(y - yhat, 0.1) as l80, quantile_cont(y - yhat, 0.9) as h80,
-  quantile_cont(y - yhat, 0.025) as l95, quantile_cont(y - yhat, 0.975) as h95 from f group by 1)
+with f as (select unique_id, model, ds, y, yhat from paired),
+q as (select unique_id, model, quantile_cont(y - yhat, 0.1) as l80, quantile_cont(y - yhat, 0.9) as h80,
+  quantile_cont(y - yhat, 0.025) as l95, quantile_cont(y - yhat, 0.975) as h95 from f group by 1, 2)
 ---
-  select unique_id, ds, yhat, 80 as level, yhat + l80 as lo, yhat + h80 as hi from f join q using (unique_id)
-  union all select unique_id, ds, yhat, 95, yhat + l95, yhat + h95 from f join q using (unique_id)""", "yhat lo hi")
+  select unique_id, model, ds, yhat, 80 as level, yhat + l80 as lo, yhat + h80 as hi from f join q using (unique_id, model)
+  union all select unique_id, model, ds, yhat, 95, yhat + l95, yhat + h95 from f join q using (unique_id, model)""", "yhat lo hi")
 def error_bounds(t: Tables):
-    fitted = t.staged("paired").filter(F.col("model") == "naive_24")
-    return metrics.error_bounds(fitted.select("unique_id", "ds", "yhat"), fitted)
+    fitted = t.staged("paired")
+    return metrics.error_bounds(fitted.select("unique_id", "model", "ds", "yhat"), fitted)
 
 
 @query("compare_models", f"""

@@ -41,8 +41,12 @@ def insert_if_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 def append_deduplicated(stored: DataFrame, fetched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Append a fetch that starts at the last stored time without repeating that row."""
-    fresh = fetched.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+    """Append a fetch that starts at the last stored time without repeating that row.
+
+    Of fetched copies of a key that differ, the one whose values hash lowest stays, whatever the order of arrival.
+    """
+    ranked = fetched.withColumn("_rank", F.xxhash64(*[c for c in fetched.columns if c not in keys]))
+    fresh = pick_row(ranked, keys, "_rank", last=False).join(stored.select(*keys), list(keys), "left_anti")
     return stored.unionByName(fresh.select(*stored.columns))
 
 

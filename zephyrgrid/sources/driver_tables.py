@@ -75,7 +75,7 @@ class Tables:
         return self.staged("hourly_mean")
 
     def zones(self) -> DataFrame:
-        r = F.broadcast(self.raw("region"))  # five fixed rows
+        r = self.raw("region")
         return self.raw("nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.concat(F.lit("US-"), "r_name", F.lit("-"), "n_nationkey").alias("zone"),
             F.col("r_name").alias("state"), "n_name", "n_nationkey")

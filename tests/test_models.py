@@ -153,6 +153,34 @@ def test_boosted_forecast(waves):
     assert shares.importance.sum() == pytest.approx(1.0) and shares.importance.is_monotonic_decreasing
 
 
+def test_boosted_folds_equal_separate_fits(waves):
+    df, _ = waves
+    plan, few = FoldPlan(h=4, step_size=4, n_windows=2), {"trees": 2, "depth": 2}
+    got = backtest.predictions(df, boosted.NAME, plan, options=few).toPandas()
+    assert (got.groupby(["unique_id", "fold"]).size() == 4).all() and len(got) == 16
+    train = numbered(df).filter(F.col("pos") < 392).select("unique_id", "ds", "y")
+    alone = boosted.forecast(boosted.train(train, "H", **few), train, 4, 3600).toPandas()
+    keys = ["unique_id", "ds"]
+    np.testing.assert_allclose(got[got.fold == 0].sort_values(keys).yhat, alone.sort_values(keys).yhat)
+    scores = Forecaster(boosted.NAME, "H", **few).fit(df).evaluate(h=4, step_size=4, n_windows=1)
+    assert scores.filter("metric = 'rmse'").count() == 2
+
+
+def test_autoregression_with_null_targets(waves):
+    df, pdf = waves
+    holes = df.withColumn("y", F.when(F.col("ds") != F.lit("2024-01-17 12:00:00").cast("timestamp_ntz"), F.col("y")))
+    out = seasonal_ar.forecast(holes, 24, 3600).toPandas()
+    assert len(out) == 96 and out.yhat.notna().all()
+
+
+def test_series_without_forecast_are_listed(waves):
+    df, _ = waves
+    few = df.limit(0).unionByName(df.filter("unique_id = 'wave'").orderBy("ds").limit(20).withColumn("unique_id", F.lit("few")))
+    f = Forecaster(seasonal_ar.NAME, "H").fit(df.unionByName(few))
+    f.forecast(4)
+    assert [tuple(r) for r in f.results()["left_out"].collect()] == [("few", 20, 20, "too short")]
+
+
 def test_pacf_of_autoregression():
     rho = 0.6 ** np.arange(6)
     np.testing.assert_allclose(stats.durbin_levinson(rho), [1, 0.6, 0, 0, 0, 0], atol=1e-12)

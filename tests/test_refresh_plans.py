@@ -52,6 +52,18 @@ def test_plan_shape(spark, name):
             assert bounded or name == "topk_recent", line
 
 
+@pytest.mark.parametrize("name", ["daily_rollup", "daily_rollup_sparse", "weekly_rollup", "monthly_rollup"])
+def test_rollups_scan_raw_rows_once(spark, name):
+    """The roll-up is staged, so the plan that reads it twice has no scan of the raw rows left."""
+    plan = e.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "rolled-" in plan
+
+
+def test_time_range_reaches_the_scan_of_a_rollup(spark):
+    plan = e.queries()["range_select_hourly"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = Tables(spark, FOLDER).raw("lineitem").filter(F.col("l_quantity") > 10).select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -199,6 +199,9 @@ def test_versioned_table_reruns_a_batch(spark):
     for _ in range(2):
         table.merge(two, 1, newest)
     assert {(r.id, r.seq) for r in table.read().collect()} == {("a", 2), ("b", 1)}
+    again = jobs.VersionedTable(spark, table.root, table.schema)  # a restarted job without new files
+    assert {(r.id, r.seq) for r in again.read().collect()} == {("a", 2), ("b", 1)}
+    assert jobs.VersionedTable(spark, scratch_path(spark, "none"), table.schema).read().count() == 0
 
 
 def test_shared_folder_is_the_sessions(spark):

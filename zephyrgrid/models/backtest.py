@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import METRICS, metrics_wide, to_metric_rows
-from . import fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
+from ..schema import STEP_SECONDS
+from . import boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
 from .folds import FoldPlan, numbered, test_rows
 
 DEFAULT = FoldPlan(h=12, step_size=12, n_windows=5)
 
 
-def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season: int = 24, freq: str = "H") -> DataFrame:
-    """Test rows of every fold beside the model's forecast: unique_id, fold, ds, horizon_step, y, yhat."""
+def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season: int = 24, freq: str = "H",
+                options: dict | None = None) -> DataFrame:
+    """Test rows of every fold beside the model's forecast: unique_id, fold, ds, horizon_step, y, yhat.
+
+    Rows without a target are left out. ``options`` go to the training of boosted trees.
+    """
+    series = series.filter(F.col("y").isNotNull())
     if model == fourier_trend.NAME:
         paired = fourier_trend.predict_folds(series, fourier_trend.fit(series, freq, plan), plan, freq)
     else:
@@ -24,6 +30,8 @@ def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season:
         elif model == weekly_sequence.NAME:
             scaled = weekly_sequence.scale(series)
             path = weekly_sequence.predict(weekly_sequence.fit(scaled, plan), scaled, plan.h, plan)
+        elif model == boosted.NAME:
+            path = boosted.predict_folds(series, plan, STEP_SECONDS[freq], freq, **(options or {}))
         else:
             raise ValueError(f"unknown model {model}")
         tests = test_rows(numbered(series), plan)
@@ -33,9 +41,9 @@ def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season:
 
 
 def evaluate(series: DataFrame, models: list[str], plan: FoldPlan = DEFAULT, season: int = 24, freq: str = "H",
-             by: tuple[str, ...] = ("unique_id", "model"), metrics: list[str] = METRICS) -> DataFrame:
+             by: tuple[str, ...] = ("unique_id", "model"), metrics: list[str] = METRICS, options: dict | None = None) -> DataFrame:
     """Metric rows per series and model over all folds; add ``horizon_step`` to ``by`` for each step."""
-    frames = [predictions(series, m, plan, season, freq) for m in models]
+    frames = [predictions(series, m, plan, season, freq, options) for m in models]
     every = frames[0]
     for frame in frames[1:]:
         every = every.unionByName(frame)

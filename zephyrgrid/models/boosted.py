@@ -15,28 +15,32 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_parts, cyclical_parts
 from ..functions.timeaxis import shift
+from ..operators.blocks import attach
 from ..operators.features import feature_names, model_features
 from ..operators.metrics import percent_bounds
 from ..schema import LAGS, ROLLING
 from ..session import cut_lineage, stage
-from .folds import FULL, numbered, tails
+from .folds import FULL, FoldPlan, numbered, tails
 
 NAME = "BoostedTrees"
+LEVELS = ["series_mean", "series_std"]
 CUT_EVERY = 6
 
 
 def inputs(freq: str) -> list[str]:
-    return [*feature_names(freq), "series_code"]
+    return [*feature_names(freq), *LEVELS]
 
 
-def _coded(df: DataFrame) -> DataFrame:
-    """A stable numeric code per series; trees need a number and no table of ids has to be kept."""
-    return df.withColumn("series_code", F.pmod(F.xxhash64("unique_id"), F.lit(1 << 20)).cast("double"))
+def _levels(series: DataFrame) -> DataFrame:
+    """Mean and deviation of each series: what tells series apart, however many there are."""
+    return series.groupBy("unique_id").agg(
+        F.avg("y").alias("series_mean"), F.coalesce(F.stddev_pop("y"), F.lit(0.0)).alias("series_std"))
 
 
 def train(series: DataFrame, freq: str = "H", trees: int = 100, depth: int = 6, rate: float = 0.1,
           sample: float = 0.8, seed: int = 42) -> PipelineModel:
-    rows = stage(_coded(model_features(series, freq, include_current=False)).select(*inputs(freq), "y"), "features")
+    made = attach(model_features(series, freq, include_current=False), _levels(series), ["unique_id"], ["ds"])
+    rows = stage(made.select(*inputs(freq), "y"), "features")
     assembler = VectorAssembler(inputCols=inputs(freq), outputCol="features")
     ready = assembler.transform(rows).select("features", "y")
     gbt = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="yhat", maxIter=trees, maxDepth=depth,
@@ -65,11 +69,11 @@ def forecast(model: PipelineModel, series: DataFrame, h: int, step: int, freq: s
     """Recursive forecast; series shorter than the longest lag are left out, as in training."""
     depth = max(LAGS[freq] + ROLLING[freq])
     ends = tails(numbered(series), FULL, depth).filter(F.size("tail") == depth)
-    state = _coded(ends.select("unique_id", F.col("cutoff").alias("last_ds"), "tail",
-                               F.array().cast("array<double>").alias("path")))
+    state = ends.select("unique_id", F.col("cutoff").alias("last_ds"), "tail", F.array().cast("array<double>").alias("path"))
+    state = state.join(_levels(series), "unique_id")
     derived = _tail_features(freq) | calendar_parts("ds") | cyclical_parts("ds", freq != "D")
     advance = [
-        "unique_id", "series_code", "last_ds", F.slice(F.concat(F.array("yhat"), "tail"), 1, depth).alias("tail"),
+        "unique_id", *LEVELS, "last_ds", F.slice(F.concat(F.array("yhat"), "tail"), 1, depth).alias("tail"),
         F.concat("path", F.array("yhat")).alias("path"),
     ]
     for s in range(1, h + 1):
@@ -83,6 +87,21 @@ def forecast(model: PipelineModel, series: DataFrame, h: int, step: int, freq: s
     return out if bounds is None else percent_bounds(out, bounds)
 
 
+def predict_folds(series: DataFrame, plan: FoldPlan, step: int, freq: str = "H", **options) -> DataFrame:
+    """Forecasts of every fold by a model of its own, trained on the rows before the cut: unique_id, fold, horizon_step, yhat.
+
+    ``options`` go to ``train``. Trees are not sums of rows, so each fold is a fit of its own; the folds are few.
+    """
+    rows = stage(numbered(series.filter(F.col("y").isNotNull())), "fold-rows")
+    out = None
+    for fold in range(plan.n_windows):
+        before = rows.filter(F.col("pos") < plan.cut(F.lit(fold))).select("unique_id", "ds", "y")
+        path = forecast(train(before, freq, **options), before, plan.h, step, freq, None)
+        path = path.select("unique_id", F.lit(fold).alias("fold"), "horizon_step", "yhat")
+        out = path if out is None else out.unionByName(path)
+    return out
+
+
 def feature_importance(model: PipelineModel, series: DataFrame, freq: str = "H") -> DataFrame:
     """Share of each feature in the trees' gains, largest first (one row per feature)."""
     shares = model.stages[-1].featureImportances

@@ -69,12 +69,14 @@ class Forecaster:
     def evaluate(self, h: int = 12, step_size: int = 12, n_windows: int = 5, by=("unique_id", "model")) -> DataFrame:
         if self.series is None:
             raise ValueError("call fit first")
-        return backtest.evaluate(self.series, [self.model], FoldPlan(h, step_size, n_windows), self.season, self.freq, by)
+        options = self.options if self.model == boosted.NAME else None
+        return backtest.evaluate(self.series, [self.model], FoldPlan(h, step_size, n_windows), self.season, self.freq, by, options=options)
 
     def results(self) -> dict[str, DataFrame]:
         out = {"series": self.series, "summary": self.summary()}
         if self.result is not None:
             out["forecast"] = self.result
+            out["left_out"] = left_out(self.series, self.result)
         if isinstance(self.params, DataFrame):
             out["params"] = self.params
         return out
@@ -83,6 +85,14 @@ class Forecaster:
         return model_summary(self.series, self.result).withColumn("model", F.lit(self.model))
 
 
+def left_out(series: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Series without a forecast, with their rows: they are shorter than the model's longest lag or have no target."""
+    counts = series.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n_obs"), F.count("y").alias("n_known"))
+    made = forecast.filter(F.col("yhat").isNotNull()).select("unique_id").distinct()
+    reason = F.when(F.col("n_known") == 0, "no target").otherwise("too short")
+    return counts.join(made, "unique_id", "left_anti").withColumn("reason", reason)
+
+
 def model_summary(series: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """One row per series: extent, frequency, season and how many periods were forecast."""
     counts = series.groupBy("unique_id").agg(

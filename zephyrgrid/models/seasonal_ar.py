@@ -69,7 +69,11 @@ def fit_gram(gram: np.ndarray, n: int, candidates=CANDIDATES):
 
 
 def fit(series: DataFrame, season: int = 24, plan: FoldPlan = FULL, candidates=CANDIDATES) -> DataFrame:
-    """One row per series and fold: coefficients over REGRESSORS, variance, AICc, chosen model, mean."""
+    """One row per series and fold: coefficients over REGRESSORS, variance, AICc, chosen model, mean.
+
+    Rows without a target are left out before they are numbered, here and in ``predict``.
+    """
+    series = series.filter(F.col("y").isNotNull())
     means = series.groupBy("unique_id").agg(F.avg("y").alias("mean"))
     rows = numbered(attach(series, means, ["unique_id"], ["ds"]).withColumn("y", F.col("y") - F.col("mean")))
     reach = season + 1
@@ -126,7 +130,7 @@ def roll_forward(coef: np.ndarray, tail: np.ndarray, season: int, h: int) -> tup
 
 def predict(params: DataFrame, series: DataFrame, season: int, h: int, plan: FoldPlan = FULL) -> DataFrame:
     """unique_id, fold, cutoff, horizon_step, yhat and sd: one bounded fold over the tail per series."""
-    ends = tails(numbered(series), plan, season + 1)
+    ends = tails(numbered(series.filter(F.col("y").isNotNull())), plan, season + 1)
     ready = params.join(ends, ["unique_id", "fold"])
 
     def run(batches):

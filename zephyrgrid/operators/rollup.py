@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timeaxis import DAY, WEEK, day_of, month_of, shift, week_ending_sunday
 from ..functions.weather import circular_mean
 from ..schema import MEASURES
+from ..session import stage
 from .blocks import attach
 from .grid import time_spine
 
@@ -31,7 +32,11 @@ def _summaries(columns: Sequence[str]) -> list[Column]:
 
 
 def _full_calendar(rolled: DataFrame, keys: Sequence[str], bucket: str, step: int) -> DataFrame:
-    """Add the empty buckets between a series' first and last: sums 0, the rest NULL."""
+    """Add the empty buckets between a series' first and last: sums 0, the rest NULL.
+
+    The calendar's bounds and its join both read the roll-up, so it is staged: raw rows are scanned once.
+    """
+    rolled = stage(rolled, "rolled")
     bounds = rolled.groupBy(*keys).agg(F.min(bucket).alias("_from"), F.max(bucket).alias("_to"))
     carried = bounds.withColumn("_first", F.col("_from"))
     anchored = time_spine(carried, [*keys, "_first"], "_from", "_to", bucket, DAY)

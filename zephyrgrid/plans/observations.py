@@ -35,7 +35,7 @@ def min_rows_guard(t: Tables):
 @query("range_select_hourly", f"""select id, "time", temp, wdir from hourly
     where "time" between timestamp '{MIDDLE}' and timestamp '{LAST_DAY}'""", "temp wdir")
 def range_select_hourly(t: Tables):
-    return readers.select_range(t.hourly(), "id", "time", None, MIDDLE, LAST_DAY).select("id", "time", "temp", "wdir")
+    return readers.select_range(t.hourly(MIDDLE, LAST_DAY), "id", "time", None, MIDDLE, LAST_DAY).select("id", "time", "temp", "wdir")
 
 
 @query("range_select_daily", f"""select id, date_trunc('day', "time") as "day", min(temp) as tmin, max(temp) as tmax,

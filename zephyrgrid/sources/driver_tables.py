@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeaxis import hour_of
+from ..functions.timeaxis import HOUR, hour_of, shift
 from ..functions.weather import circular_mean
 from ..operators.blocks import row_blocks, with_position
 from ..operators.grid import complete_grid
@@ -59,8 +59,14 @@ class Tables:
     def obs_by_user(self) -> DataFrame:
         return self.obs().withColumn("id", F.col("user_id").cast("string"))
 
-    def hourly(self) -> DataFrame:
-        return self.obs().groupBy("id", hour_of("time").alias("time")).agg(
+    def hourly(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Hours from ``start`` to ``end`` (both included); the range is set on the raw time, where the scan prunes by it."""
+        raw = self.obs()
+        if start is not None:
+            raw = raw.filter(F.col("time") >= F.date_trunc("hour", F.lit(start).cast("timestamp_ntz")).cast("timestamp_ntz"))
+        if end is not None:
+            raw = raw.filter(F.col("time") < shift(F.lit(end).cast("timestamp_ntz"), HOUR))
+        return raw.groupBy("id", hour_of("time").alias("time")).agg(
             *[fn(m).alias(m) for m, fn in RULES.items()])
 
     def hourly_full(self) -> DataFrame:

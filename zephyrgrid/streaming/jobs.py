@@ -72,12 +72,19 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], labe
 class VersionedTable:
     """A small table of current rows: every batch writes the merged state to a folder of its own.
 
-    The folder is named by the batch, so a batch that is run again replaces its own output only.
+    The folder is named by the batch, so a batch that is run again replaces its own output only. The current version
+    is the newest one on storage whose write was completed, so a restarted job goes on from it.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root, schema
-        self.version: int | None = None
+
+    @property
+    def version(self) -> int | None:
+        jvm = self.spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{self.root}/v=*/_SUCCESS")
+        found = done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+        return max((int(s.getPath().getParent().getName().removeprefix("v=")) for s in found or []), default=None)
 
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version if version is None else version
@@ -88,7 +95,6 @@ class VersionedTable:
     def merge(self, batch: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         merged = merge(self.read(batch_id - 1), batch)
         merged.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
-        self.version = batch_id
 
 
 def latest_state(readings: DataFrame, key: str, time: str, columns: Sequence[str]) -> DataFrame:

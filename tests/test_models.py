@@ -178,7 +178,7 @@ def test_series_without_forecast_are_listed(waves):
     few = df.limit(0).unionByName(df.filter("unique_id = 'wave'").orderBy("ds").limit(20).withColumn("unique_id", F.lit("few")))
     f = Forecaster(seasonal_ar.NAME, "H").fit(df.unionByName(few))
     f.forecast(4)
-    assert [tuple(r) for r in f.results()["left_out"].collect()] == [("few", 20, 20, "too short")]
+    assert [tuple(r) for r in f.left_out().collect()] == [("few", 20, 20, "too short")]
 
 
 def test_pacf_of_autoregression():

@@ -76,11 +76,15 @@ class Forecaster:
         out = {"series": self.series, "summary": self.summary()}
         if self.result is not None:
             out["forecast"] = self.result
-            out["left_out"] = left_out(self.series, self.result)
         if isinstance(self.params, DataFrame):
             out["params"] = self.params
         return out
 
+    def left_out(self) -> DataFrame:
+        if self.result is None:
+            raise ValueError("call forecast first")
+        return left_out(self.series, self.result)
+
     def summary(self) -> DataFrame:
         return model_summary(self.series, self.result).withColumn("model", F.lit(self.model))
 

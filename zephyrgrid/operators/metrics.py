@@ -6,6 +6,7 @@ Input frames are long: ``unique_id, ds, model, y, yhat`` (and ``horizon_step`` o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,22 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: str, probs: dict[s
     return exact_quantiles(df, keys, value, probs)
 
 
+def qq_table(df: DataFrame, keys: Sequence[str], value: str, points: int = 21) -> DataFrame:
+    """Sample quantiles beside normal ones, a row per point: keys, point, prob, z, sample, normal.
+
+    Points lie at (i - 0.5) / ``points``; ``normal`` has the sample's mean and deviation (null for one row only).
+    """
+    probs = {i: (i - 0.5) / points for i in range(1, points + 1)}
+    sample = exact_quantiles(df, keys, value, {f"_q{i}": p for i, p in probs.items()})
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("point"), F.lit(p).alias("prob"), F.lit(NormalDist().inv_cdf(p)).alias("z"),
+                 F.col(f"_q{i}").alias("sample")) for i, p in probs.items()
+    ]))
+    rows = sample.join(moments, list(keys)).select(*keys, "_mean", "_std", stacked.alias("_p")).select(*keys, "_mean", "_std", "_p.*")
+    return rows.select(*keys, "point", "prob", "z", "sample", (F.col("_mean") + F.col("_std") * F.col("z")).alias("normal"))
+
+
 def error_bounds(forecast: DataFrame, fitted: DataFrame, levels: Sequence[int] = (80, 95)) -> DataFrame:
     """Bounds from past errors: the forecast plus the error percentiles (100 - L) / 2 and its mirror.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -225,6 +227,20 @@ def residual_quantiles(t: Tables):
     return metrics.quantile_table(metrics.residuals(t.staged("paired")), ["unique_id", "model"], "residual", PROBS)
 
 
+QQ = [(i - 0.5) / 21 for i in range(1, 22)]
+
+
+@query("qq_table", f"""
+with e as (select unique_id, model, y - yhat as r from paired),
+q as (select unique_id, model, avg(r) as m, stddev_samp(r) as s, quantile_cont(r, {QQ}) as sample from e group by 1, 2),
+rows as (select unique_id, model, m, s, unnest({list(range(1, 22))}) as point, unnest({QQ}::double[]) as prob,
+  unnest({[NormalDist().inv_cdf(p) for p in QQ]}::double[]) as z, unnest(sample) as sample from q)
+---
+  select unique_id, model, cast(point as int) as point, prob, z, sample, m + s * z as normal from rows""", "prob z sample normal")
+def qq_table(t: Tables):
+    return metrics.qq_table(metrics.residuals(t.staged("paired")), ["unique_id", "model"], "residual")
+
+
 @query("residual_acf", f"""
 with res as (select unique_id, row_number() over (partition by unique_id order by ds) - 1 as pos,
   y - yhat as y from paired where model = 'naive_24'),

@@ -43,3 +43,23 @@ def test_label_columns_are_no_inputs(sample):
     plain = language_id.predict(sample, model).collect()
     blind = language_id.predict(sample.withColumns({"lang": F.lit("xx"), "source": F.lit(None)}), model).collect()
     assert sorted(plain) == sorted(blind)
+
+
+def test_long_clean_texts_are_not_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    model, texts = language_id.fit(docs), {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    assert len(texts) == 4
+    rows = [(lang, n, ("\n".join(t) * (1 + n // sum(map(len, t))))[:n]) for lang, t in texts.items() for n in (3_000, 400_000, 1_000_000, 2_000_000)]
+    frame = spark.createDataFrame(rows, "lang string, n long, text string")
+    got = language_id.predict(frame, model, ("lang", "n")).collect()
+    assert len(got) == 16 and all(r["lang_pred"] == r["lang"] and not r["rejected"] and r["score"] > 0.05 for r in got)
+    assert language_id.keep_known(frame, model).count() == 16
+
+
+def test_segments_make_up_the_text():
+    for n in (1, 4095, 4096, 4097, 100_001):
+        parts = language_id.segments(bytes(range(256)) * (n // 256) + bytes(n % 256))
+        assert b"".join(parts) == bytes(range(256)) * (n // 256) + bytes(n % 256)
+        assert max(map(len, parts)) <= 4096 and max(map(len, parts)) - min(map(len, parts)) <= 1

@@ -1,7 +1,9 @@
 """Language identification by compression (operator 1).
 
 Each language gets a raw-content zstandard dictionary made of labelled texts. A text belongs to the language whose
-dictionary compresses it smallest; it is rejected when the runner-up is nearly as small.
+dictionary compresses it smallest; it is rejected when the runner-up is nearly as small. A text is compressed in segments
+of bounded size and the sizes are added up: a dictionary saves a bounded number of bytes a call, so over a whole long
+text the saving, and with it the margin, would vanish.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 # Zeros after every text: without them zstandard stores a short text as it is, whatever the dictionary has.
 PAD = bytes(64)
+SEGMENT_BYTES = 4096
 
 
 @dataclass(frozen=True)
@@ -78,19 +81,27 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", samples: in
     return Model(tuple((name, content) for name, content in made if content), level)
 
 
+def segments(letters: bytes, most: int = SEGMENT_BYTES) -> list[bytes]:
+    """Consecutive pieces of equal size, ``most`` bytes at most, that make up the whole."""
+    n = -(-len(letters) // most)
+    ends = [len(letters) * i // n for i in range(n + 1)]
+    return [letters[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _sizes(texts: list[str | None], compressors: list) -> tuple[np.ndarray, np.ndarray]:
     sizes, known = np.zeros((len(texts), len(compressors)), dtype=np.int64), np.zeros(len(texts), dtype=bool)
     for i, text in enumerate(texts):
         letters = normal(text) if text is not None else b""
         if letters:
             known[i] = True
-            sizes[i] = [len(c.compress(letters + PAD)) for c in compressors]
+            pieces = [piece + PAD for piece in segments(letters)]
+            sizes[i] = [sum(len(c.compress(piece)) for piece in pieces) for c in compressors]
     return sizes, known
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_margin: float = 0.01) -> DataFrame:
     """Language of every whole text: the columns ``keep``, lang_pred, score (0 to 1: how much smaller the best size is
-    than the second), rejected (no language, or a score under ``min_margin``).
+    than the second, both summed over all segments), rejected (no language, or a score under ``min_margin``).
 
     * A null text and a text without a letter give ``und`` with score 0; so does an empty model. Equal sizes go to the
       more frequent language with score 0. With one language the score is 1.

@@ -70,6 +70,17 @@ def test_ownership_decides_on_candidates(spark):
     assert [s["kind"] for s in got[20]["spans"]] == ["owned"] and got[21]["spans"][0]["end"] == 30
 
 
+def test_key_of_one_owner_is_live_however_often_it_recurs(spark):
+    own = "Qw7" * 10
+    rows = [(i, f"page {i} {own} end", "s1", f"r{i}") for i in range(60)] + [(100, "none", "s2", "r0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(frame).collect()}
+    assert all([s["kind"] for s in got[i]["spans"]] == ["owned"] and got[i]["examples"] == 0 for i in range(60)) and got[100]["spans"] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_documents(frame).collect()}
+    assert all(clean[i] == f"page {i} [SECRET] end" for i in range(60))
+    assert all(not r["spans"] for r in secrets.scan_secrets(frame, repository="repo").collect())
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, covered = {}, set()

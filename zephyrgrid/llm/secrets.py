@@ -64,8 +64,9 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """Per value hash: distinct owners and repositories, and whether it looks live (few of both).
+def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
+    """Per value hash: distinct owners and repositories, and whether it looks live (few of both; of owners alone where
+    ``max_repositories`` is None).
 
     ``found`` has value_hash, owner, repository. Pairs are made distinct map-side first, so a value that a third of all
     rows repeat costs one row per task, owner and repository.
@@ -73,27 +74,28 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories:
     by_owner = found.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("value_hash", "owner").agg(
         F.count("*").alias("repositories"), F.sum("n").alias("n"))
     sums = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("uses"))
-    return sums.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    few = F.col("owners") <= max_owners
+    return sums.withColumn("live", few if max_repositories is None else few & (F.col("repositories") <= max_repositories))
 
 
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None,
                  max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Spans of every row: id, text_hash, base and spans (arrays of start, rank, end, kind, value), examples (candidates left).
 
-    * ``repository`` names the column of repositories; without one every row's id is its repository. A null owner or
-      repository counts as one owner or repository of its own.
+    * ``repository`` names the column of repositories; without one owners alone decide, however many rows of few owners
+      hold a value. A null owner or repository counts as one owner or repository of its own.
     * Candidates inside a base span are left to it. Of the others the live-looking ones join the base spans.
     * A null text is an empty one and has no spans. Rows of equal id and text share their result and each keep a row; an
       empty table gives an empty result. Other columns are not read.
     """
     value = whole(text)
     outside = F.filter(F.col("found"), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = docs.select(F.col(id).alias("__id"), F.col(owner).alias("owner"), F.col(repository or id).cast("string").alias("repository"),
+    rows = docs.select(F.col(id).alias("__id"), F.col(owner).alias("owner"), (F.col(repository) if repository else F.lit(None)).cast("string").alias("repository"),
                        F.xxhash64(value).alias("text_hash"), base_spans(value).alias("base"), candidate_spans(value).alias("found"))
     rows = stage(rows.withColumn("found", outside), "spans")
     loose = rows.where(F.size("found") > 0).select("__id", "text_hash", "owner", "repository", F.explode("found").alias("span")).withColumn(
         "value_hash", F.sha2("span.value", 256))
-    owned = stage(ownership(loose.select("value_hash", "owner", "repository"), max_owners, max_repositories), "owners")
+    owned = stage(ownership(loose.select("value_hash", "owner", "repository"), max_owners, max_repositories if repository else None), "owners")
     judged = loose.select("__id", "text_hash", "span", "value_hash").distinct().join(owned, "value_hash")
     judged = stage(judged.groupBy("__id", "text_hash").agg(
         F.collect_list(F.when(F.col("live"), F.col("span"))).alias("live"), F.sum(F.when(F.col("live"), 0).otherwise(1)).alias("examples")), "live")

@@ -81,6 +81,16 @@ def test_key_of_one_owner_is_live_however_often_it_recurs(spark):
     assert all(not r["spans"] for r in secrets.scan_secrets(frame, repository="repo").collect())
 
 
+def test_uses_in_assignments_count_as_owners(spark):
+    example, own = "Zx9" * 10, "Qw7" * 10
+    rows = [(i, f"token={example} set", f"s{i}") for i in range(10)] + [(20, f"try {example} here", "s1")]
+    rows += [(30, f"token={own}", "s1"), (31, f"my {own} key", "s1")]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all([s["kind"] for s in got[i]["spans"]] == ["assign"] and got[i]["examples"] == 0 for i in (*range(10), 30))
+    assert got[20]["spans"] == [] and got[20]["examples"] == 1
+    assert [s["kind"] for s in got[31]["spans"]] == ["owned"]
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, covered = {}, set()

@@ -112,8 +112,8 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from t left join basic using (doc_id) left join joined using (doc_id) left join left_out using (doc_id)
 """)
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """The table has no repositories: as in the SQL, every document counts as one."""
-    found = secrets.scan_secrets(table(spark, folder, "documents"), repository="doc_id")
+    """As in the SQL, every document counts as a repository, and only candidates outside base spans as uses."""
+    found = secrets.scan_secrets(table(spark, folder, "documents"), repository="doc_id", count_inside=False)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans")).alias("spans"), F.col("examples").alias("n_examples"))

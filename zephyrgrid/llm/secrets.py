@@ -79,23 +79,30 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories:
 
 
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None,
-                 max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+                 max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, count_inside: bool = True) -> DataFrame:
     """Spans of every row: id, text_hash, base and spans (arrays of start, rank, end, kind, value), examples (candidates left).
 
     * ``repository`` names the column of repositories; without one owners alone decide, however many rows of few owners
       hold a value. A null owner or repository counts as one owner or repository of its own.
-    * Candidates inside a base span are left to it. Of the others the live-looking ones join the base spans.
+    * Candidates that overlap a base span are left to it, but their owners count as uses of the value (not so with
+      ``count_inside`` False). Of the others the live-looking ones join the base spans.
     * A null text is an empty one and has no spans. Rows of equal id and text share their result and each keep a row; an
       empty table gives an empty result. Other columns are not read.
     """
     value = whole(text)
-    outside = F.filter(F.col("found"), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    overlaps = lambda c: F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    outside, inside = F.filter(F.col("found"), lambda c: ~overlaps(c)), F.filter(F.col("found"), overlaps)
     rows = docs.select(F.col(id).alias("__id"), F.col(owner).alias("owner"), (F.col(repository) if repository else F.lit(None)).cast("string").alias("repository"),
                        F.xxhash64(value).alias("text_hash"), base_spans(value).alias("base"), candidate_spans(value).alias("found"))
-    rows = stage(rows.withColumn("found", outside), "spans")
+    inside = F.transform(inside, lambda c: c["value"]) if count_inside else F.array().cast("array<string>")
+    rows = stage(rows.withColumns({"found": outside, "inside": inside}), "spans")
     loose = rows.where(F.size("found") > 0).select("__id", "text_hash", "owner", "repository", F.explode("found").alias("span")).withColumn(
         "value_hash", F.sha2("span.value", 256))
-    owned = stage(ownership(loose.select("value_hash", "owner", "repository"), max_owners, max_repositories if repository else None), "owners")
+    uses = loose.select("value_hash", "owner", "repository")
+    if count_inside:
+        inner = rows.where(F.size("inside") > 0).select("owner", "repository", F.explode("inside").alias("value"))
+        uses = uses.unionByName(inner.select(F.sha2("value", 256).alias("value_hash"), "owner", "repository"))
+    owned = stage(ownership(uses, max_owners, max_repositories if repository else None), "owners")
     judged = loose.select("__id", "text_hash", "span", "value_hash").distinct().join(owned, "value_hash")
     judged = stage(judged.groupBy("__id", "text_hash").agg(
         F.collect_list(F.when(F.col("live"), F.col("span"))).alias("live"), F.sum(F.when(F.col("live"), 0).otherwise(1)).alias("examples")), "live")

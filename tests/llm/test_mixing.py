@@ -51,3 +51,12 @@ def test_odd_rows(docs):
     assert seen == Counter((r["doc_id"], r["text"]) for r in frame.collect())
     assert mixing.mix_sources(frame.limit(0)).count() == 0
     assert mixing.mix_sources(frame.where("doc_id in (2, 3)")).count() == 2
+
+
+def test_rows_without_tokens_are_part_of_a_cut_epoch(spark):
+    rows = [(i, f"a{i} b c d", "big") for i in range(200)] + [(1000 + i, " " * (i % 5) if i % 2 else None, "big") for i in range(100)]
+    frame = spark.createDataFrame([*rows, *[(2000 + i, "x y", "small") for i in range(20)]], "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(frame, budget_tokens=400, block_tokens=50).where("source = 'big'").collect()
+    with_tokens = [r for r in mixed if r["doc_id"] < 1000]
+    assert 0 < len(with_tokens) < 200 and {r["__mix"]["epoch"] for r in mixed} == {0}
+    assert sorted(r["doc_id"] for r in mixed if r["doc_id"] >= 1000) == list(range(1000, 1100))

@@ -85,8 +85,8 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
                 max_repeats: float = MAX_REPEATS, budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it, with __mix (struct of tokens, epoch, block, block_rank, weight).
 
-    * Tokens are words between white space; a null text has none. Rows without tokens are part of every epoch; a source
-      without any token gives one epoch. A null source is a source of its own.
+    * Tokens are words between white space; a null text has none. Rows without tokens are part of every epoch, also of one
+      that is cut; a source without any token gives one epoch. A null source is a source of its own.
     * Sources are taken ``floor(quota / tokens)`` times whole. The blocks of the epoch after that come in an order of
       their own; rows of the block where the quota ends come in hashed order while they fit, so the realised tokens fall
       short of the quota by less than that block's next row. Rows of equal id and text stand or fall together.
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     r = lambda name: F.col(f"__rule.{name}")
     rows = rows.withColumn("__block", block(F.col("__key"), r("blocks")))
     rows = rows.withColumn("__turn", turn(r("epochs"), F.col("__source"), F.col("__block")))
-    partial = (r("rest") > 0) & (r("edge").isNull() | (F.col("__turn") < r("edge")) | ((F.col("__turn") == r("edge")) & (F.col("__key") <= r("last"))))
+    partial = (r("rest") > 0) & ((F.col("__tokens") == 0) | r("edge").isNull() | (F.col("__turn") < r("edge")) | ((F.col("__turn") == r("edge")) & (F.col("__key") <= r("last"))))
     times = r("epochs") + F.when(F.coalesce(partial, F.lit(False)), 1).otherwise(0)
     rows = rows.withColumn("__epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))))
     mixed = F.struct(F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"),

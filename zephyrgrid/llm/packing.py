@@ -7,109 +7,20 @@ stream, which is cut into windows of fixed length; a document that crosses a cut
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .encoding import BatchEncoder, binary, load, released
 from .text import bounded_batches
 
 LENGTH = 2048
 END_ID = 1
-SLICE_ROWS = 500
-# Visible characters that NFC leaves alone and that lower case maps one by one.
-LATIN = re.compile("[\x21-\x7e\xa1-\xff]+")
-
-
-class WordEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    Tokenizers that only normalise (NFC, white space, lower case) and split by a pattern that never crosses white space
-    give a text the ids of its words one after another. For those, words (cut at space and line feed) are looked up in a
-    bounded memory; new ones of visible Latin-1 characters are split by the tokenizer's own pattern and merged by its own
-    model, all others go through the whole tokenizer. Any other tokenizer encodes whole texts.
-    """
-
-    def __init__(self, definition: str, memory: int = 200_000) -> None:
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.model = self.tokenizer.model
-        self.words, self.pieces = _Memory(self._word, memory), _Memory(self._piece, memory // 2)
-        self.pattern = self._word_pattern(json.loads(definition))
-        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xA1, 0x100)}
-
-    @staticmethod
-    def _word_pattern(parts: dict) -> regex.Pattern | None:
-        """The split pattern if the tokenizer works word by word as described."""
-        steps = (parts.get("normalizer") or {}).get("normalizers", [])
-        splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        added = [t["content"] for t in parts.get("added_tokens", [])]
-        by_word = (
-            [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("content") == " "
-            and steps[1].get("pattern") == {"Regex": r"\s+"} and [s["type"] for s in splits] == ["Split", "ByteLevel"]
-            and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True and r"[^\s" in splits[0].get("pattern", {}).get("Regex", "")
-            and not splits[1].get("add_prefix_space") and not any(" " in t or "\n" in t for t in added))
-        return regex.compile(splits[0]["pattern"]["Regex"]) if by_word else None
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.translate(self.spelling))])
-
-    def _word(self, word: str) -> bytes:
-        if word.isalpha() and LATIN.fullmatch(word):
-            return self.pieces[word.lower()]
-        if not word:
-            return b""
-        if "<|" in word or not LATIN.fullmatch(word):
-            return self._encode(word)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
-
-    def __call__(self, text: str) -> bytes:
-        if self.pattern is None:
-            return self._encode(text)
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-class _Memory(dict):
-    """Computed values by key in two generations: when the young one is full it becomes the old one, and keys that are
-    asked for again come back, so frequent keys stay."""
-
-    def __init__(self, make, limit: int) -> None:
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
-def encoder(definition: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer; one is kept."""
-    key = hash(definition)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(definition)
-    return _ENCODERS[key]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
@@ -120,20 +31,17 @@ def tokenize(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "t
     with open(tokenizer, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = bounded_batches(docs).select(F.col(id).alias("__id"), F.col(text).alias("text"))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, place = encoder(definition.value), TaskContext.get().partitionId(), 0
+        encode, task, place = BatchEncoder(load(definition.value), end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(first, SLICE_ROWS)
-                ids = [encode(t or "") + end for t in part.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                places = place + np.concatenate([[0], np.cumsum(n)[:-1]])
-                place += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), task, dtype=np.int32)), pa.array(places)],
-                    names=["__id", "ids", "n", "task", "place"])
+            ids, n = encode(batch.column(1))
+            places = place + np.cumsum(n) - n
+            place += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), binary(ids, n), pa.array(n), pa.array(np.full(len(n), task, dtype=np.int32)), pa.array(places)],
+                names=["__id", "ids", "n", "task", "place"])
 
     return rows.mapInArrow(run, f"__id {rows.schema['__id'].dataType.simpleString()}, ids binary, n long, task int, place long")
 

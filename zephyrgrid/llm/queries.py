@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_id, lm, mixing, packing, quality, secrets, sharding, topk, url_rules
+from . import jaccard, language_id, lm, merkle, mixing, packing, quality, repacking, secrets, sharding, topk, url_rules
 from ..session import configure
 from .text import crc32_text
 
@@ -160,3 +160,18 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_repacking")
+def op11_repacking(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    pieces = repacking.pack(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return pieces.drop("ids")
+
+
+@query("op12_merkle")
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampering takes the line feeds out of the texts of half the documents."""
+    tampered = crc32_text(F.col("doc_id")) % 2 == 0
+    found = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, folder, "documents"), found={"text": found})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_id, lm, merkle, mixing, packing, quality, repacking, secrets, sharding, topk, url_rules
+from . import divergence, jaccard, language_id, lm, merkle, mixing, packing, quality, repacking, secrets, sharding, topk, url_rules
 from ..session import configure
 from .text import crc32_text
 
@@ -175,3 +175,33 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     tampered = crc32_text(F.col("doc_id")) % 2 == 0
     found = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.manifest(table(spark, folder, "documents"), found={"text": found})
+
+
+@query("op13_divergence", r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+tf as (select r, lang, source, term, count(*) as c from w group by all),
+kept as (select lang, term from tf group by all having count(*) >= 10),
+g as (select distinct lang, source from d),
+v as (select l.lang, count(term) as v from (select distinct lang from g) l left join kept using (lang) group by l.lang),
+c as (select lang, source, term, sum(c) as c from tf semi join kept using (lang, term) group by all),
+n as (select lang, source, coalesce(sum(c), 0) as n from g left join c using (lang, source) group by all),
+p as (select lang, source, term, coalesce(c, 0) as c, 1 + (cast(1000000000 as hugeint) * (coalesce(c, 0) + 2)) // (n + 2 * v) as p
+  from g join kept using (lang) join n using (lang, source) join v using (lang) left join c using (lang, source, term)),
+ln as (select lang, sum(n) as n from n group by lang),
+q as (select lang, term, 1 + (cast(1000000000 as hugeint) * (sum(c) + 2)) // (any_value(n) + 2 * any_value(v)) as q
+  from c join ln using (lang) join v using (lang) group by lang, term),
+dist as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join dist on dist.lang = a.lang and dist.source = a.source and dist.item = b.source),
+tops as (select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value
+  from p join q using (lang, term) where c > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+  from (select * from pairs union all select * from tops))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+""")
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))

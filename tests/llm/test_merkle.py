@@ -5,6 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as e
+from compare import compare, duck
 from zephyrgrid.llm.merkle import manifest
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -100,3 +102,9 @@ def test_empty(docs):
 def test_large_ids_and_sample(spark, sample):
     frame = sample.withColumn("doc_id", F.col("doc_id") + F.lit(1 << 60))
     assert plain(manifest(frame, found=found())) == brute([r.asDict() for r in frame.collect()], tampered)
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    problem, rows = compare(spark, duck(folder), "op12", e.queries()["op12_merkle"], e.oracle_sql()["op12_merkle"], folder)
+    assert problem is None and rows > 0, problem

@@ -169,7 +169,43 @@ def op11_repacking(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
-@query("op12_merkle")
+@query("op12_merkle", r"""
+with recursive d as (select row_number() over () as r, doc_id, source, lang, n_chars, "text",
+    xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda c: ascii(c)::ubigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::ubigint)),
+        lambda x, z: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 2 = 0 as tampered from documents),
+fields as (select r, doc_id, source, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head, "text",
+    case when tampered then replace("text", chr(10), '') else "text" end as later from d),
+leaves as (select r, doc_id, source, sha256(head || coalesce(strlen("text") || ':' || "text", '-')) as leaf,
+    sha256(head || coalesce(strlen(later) || ':' || later, '-')) as later from fields),
+ranked as (select *, row_number() over (partition by source order by doc_id nulls first, leaf, r) - 1 as i from leaves),
+trees as (select source, 0 as l, i, leaf as h, count(*) over (partition by source) as n from ranked
+  union all select source, l + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3) from trees where n > 1 group by source, l, i // 3),
+subroots as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as k from trees where n = 1),
+tops as (select 0 as l, k as i, subroot as h, count(*) over () as n from subroots
+  union all select l + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3) from tops where n > 1 group by l, i // 3),
+run as (select source, l, i, n, string_agg(h, '') over (partition by source, l, i // 3 order by i rows between unbounded preceding and 1 preceding) as b,
+    string_agg(h, '') over (partition by source, l, i // 3 order by i rows between 1 following and unbounded following) as a from
+  trees),
+toprun as (select l, i, n, string_agg(h, '') over (partition by l, i // 3 order by i rows between unbounded preceding and 1 preceding) as b,
+    string_agg(h, '') over (partition by l, i // 3 order by i rows between 1 following and unbounded following) as a from tops),
+heights as (select source, max(l) as top from trees group by source),
+steps as (select r, l as s, coalesce(b, '') as b, coalesce(a, '') as a from ranked
+    join run on run.source is not distinct from ranked.source and run.i = ranked.i // cast(pow(3, l) as bigint) and run.n > 1
+  union all select r, top + 1 + l, coalesce(b, ''), coalesce(a, '') from ranked
+    join subroots on subroots.source is not distinct from ranked.source join heights on heights.source is not distinct from ranked.source
+    join toprun on toprun.i = k // cast(pow(3, l) as bigint) and toprun.n > 1),
+runs as (select r, row_number() over (partition by r order by s) as s, b, a from steps),
+proofs as (select r, string_agg(b || a, '' order by s) as p from runs group by r),
+fold as (select r, 1 as s, later as node from leaves
+  union all select fold.r, fold.s + 1, sha256(b || node || a) from fold join runs on runs.r = fold.r and runs.s = fold.s),
+folded as (select r, arg_max(node, s) as folded_root from fold group by r),
+top as (select h as root from tops where n = 1)
+select doc_id, leaf, subroot, root, sha256(coalesce(p, '')) as proof_sha256, folded_root, folded_root = root as verified
+from ranked join subroots on subroots.source is not distinct from ranked.source cross join top left join proofs using (r) join folded using (r)
+""")
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """Tampering takes the line feeds out of the texts of half the documents."""
     tampered = crc32_text(F.col("doc_id")) % 2 == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import METRICS, metrics_wide, to_metric_rows
 from ..schema import STEP_SECONDS
-from . import boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
+from . import arima, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
 from .folds import FoldPlan, numbered, test_rows
 
 DEFAULT = FoldPlan(h=12, step_size=12, n_windows=5)
@@ -27,6 +27,8 @@ def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season:
             path = seasonal_naive.predict(series, season, plan.h, plan)
         elif model == seasonal_ar.NAME:
             path = seasonal_ar.predict(seasonal_ar.fit(series, season, plan), series, season, plan.h, plan)
+        elif model == arima.NAME:
+            path = arima.predict_folds(series, plan, season)
         elif model == weekly_sequence.NAME:
             scaled = weekly_sequence.scale(series)
             path = weekly_sequence.predict(weekly_sequence.fit(scaled, plan), scaled, plan.h, plan)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import require_columns
 from ..operators.grid import detect_frequency
 from ..schema import CLAMPED_HORIZON, DEFAULT_HORIZON, SEASON, STEP_SECONDS
-from . import backtest, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
+from . import arima, backtest, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
 from .folds import FoldPlan
 
 HORIZONS = {"15min": 96, "H": 24, "D": 7}
@@ -28,6 +28,8 @@ class Forecaster:
         self.series = require_columns(series)
         if self.model == seasonal_ar.NAME:
             self.params = seasonal_ar.fit(series, self.season, **self.options)
+        elif self.model == arima.NAME:
+            self.params = arima.fit(series, self.season, **self.options)
         elif self.model == fourier_trend.NAME:
             self.params = fourier_trend.fit(series, self.freq)
         elif self.model == boosted.NAME:
@@ -50,6 +52,8 @@ class Forecaster:
         h, step = self.horizon(h, clamp), STEP_SECONDS[self.freq]
         if self.model == seasonal_ar.NAME:
             self.result = seasonal_ar.forecast(self.series, h, step, self.season, levels, params=self.params)
+        elif self.model == arima.NAME:
+            self.result = arima.forecast(self.series, h, step, self.season, levels, params=self.params)
         elif self.model == fourier_trend.NAME:
             self.result = fourier_trend.forecast(self.series, h, step, self.freq, levels, params=self.params)
         elif self.model == boosted.NAME:

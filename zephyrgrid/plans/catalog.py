@@ -96,7 +96,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns(doubles) if doubles else df
 
 
-def query(name: str, oracle: str | None = None, round_columns: str = ""):
+def query(name: str, oracle: str | None = None, round_columns: str = "", recursive: bool = False):
     """Register ``fn(tables) -> DataFrame``; doubles are rounded so that both sides compare exactly."""
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +104,7 @@ def query(name: str, oracle: str | None = None, round_columns: str = ""):
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = sql(oracle, round_columns).replace("\n---\n", "\n")
+            text = sql(oracle, round_columns).replace("\n---\n", "\n")
+            ORACLES[name] = text.replace("with ", "with recursive ", 1) if recursive else text
         return fn
     return register

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import backtest, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
+from ..models import arima, backtest, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
 from ..models.folds import FoldPlan
 from ..models.forecaster import model_summary
 from ..operators.rollup import daily_mean
@@ -64,6 +64,29 @@ def ar2_d1_fit(t: Tables):
                          F.col("coef")[3].alias("l3"), "sigma2", "aicc", "form")
 
 
+@query("arima_residuals", """
+with centred as (select unique_id, ds, pos, y - avg(y) over (partition by unique_id) as w from numbered),
+e as (select unique_id, ds, pos, w, w as e from centred where pos = 0
+  union all select c.unique_id, c.ds, c.pos, c.w, c.w - 0.5 * e.e from e join centred c on c.unique_id = e.unique_id and c.pos = e.pos + 1)
+---
+  select unique_id, pos, w, e from e""", "w e", recursive=True)
+def arima_residuals(t: Tables):
+    """Innovations of every series under a first-order moving average of 0.5."""
+    rows = arima.differenced(t.series(), 24, 0, 0)
+    return arima.innovations(rows, arima.fixed(rows, ma={1: 0.5}), 1)
+
+
+@query("arima_search")
+def arima_search(t: Tables):
+    """Orders, coefficients and fit of every series."""
+    return arima.fit(t.series(), 24)
+
+
+@query("arima_forecast")
+def arima_forecast(t: Tables):
+    return arima.forecast(t.series(), 24, STEP, 24)
+
+
 @query("fourier_trend_forecast")
 def fourier_trend_forecast(t: Tables):
     return fourier_trend.forecast(t.series(), 24, STEP, "H")

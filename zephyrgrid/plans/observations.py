@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.timeaxis import day_of, hour_of, shift
 from ..functions.weather import feels_like, sky_class, wind_u, wind_v
-from ..operators import clean, grid, rollup
+from ..operators import clean, grid, rollup, spatial
 from ..operators.blocks import time_blocks
 from ..schema import MEASURES
 from ..session import scratch_path
@@ -111,6 +111,44 @@ def tariff_fallback(t: Tables):
     return readers.with_fallback(first, second, ["state"])
 
 
+POSITIONS = """
+with stations as (select s_suppkey, s_acctbal as rate,
+    25 + (s_suppkey * 37 % 1200) / 100.0 as lat, -(75 + (s_suppkey * 91 % 1500) / 100.0) as lon from supplier),
+homes as (select c_custkey, 25 + (c_custkey * 53 % 1201) / 100.0 as lat, -(75 + (c_custkey * 71 % 1499) / 100.0) as lon from customer)
+"""
+
+
+@query("tariff_near", POSITIONS + """,
+pairs as (select c_custkey, s_suppkey, rate, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians(s.lat) - radians(h.lat)) / 2), 2)
+    + cos(radians(h.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - h.lon) / 2), 2)))) as km from homes h, stations s)
+---
+  select c_custkey, s_suppkey, km, cast(row_number() over (partition by c_custkey order by km, s_suppkey) as int) as rank, rate
+  from pairs where km <= 40""", "km")
+def tariff_near(t: Tables):
+    """Tariffs served within 40 km of each customer."""
+    lat = lambda key, a, b: (F.lit(25) + (F.col(key) * a % b) / 100).alias("lat")
+    lon = lambda key, a, b: (-(F.lit(75) + (F.col(key) * a % b) / 100)).alias("lon")
+    rates = t.raw("supplier").select("s_suppkey", F.col("s_acctbal").alias("rate"), lat("s_suppkey", 37, 1200), lon("s_suppkey", 91, 1500))
+    homes = t.raw("customer").select("c_custkey", lat("c_custkey", 53, 1201), lon("c_custkey", 71, 1499))
+    return readers.tariffs_near(homes, rates, 40.0, "c_custkey", "s_suppkey")
+
+
+@query("zone_at_point", GEO.replace("---\n", "") + """,
+points as (select c_custkey as home, floor(c_acctbal) / 4 + (c_custkey % 9) / 4.0 + 0.125 as lon, c_custkey / 4.0 + (c_custkey % 11) / 4.0 + 0.125 as lat
+  from customer)
+---
+  select distinct home, zone from points join geo on geometry_type = 'MultiPolygon'
+    and lon >= x and lon < x + 2 and lat >= y and lat < y + 2
+    and not (n_points = 10 and lon < x + 0.5 and lat < y + 0.5)""")
+def zone_at_point(t: Tables):
+    """Zones of the features that hold a position somewhat off each customer's own."""
+    features = readers.parse_features(t.geo_lines()).where("geometry_type = 'MultiPolygon'")
+    key = F.col("c_custkey")
+    points = t.raw("customer").select(key.alias("home"), (F.floor("c_acctbal") / 4 + (key % 9) / 4 + 0.125).alias("lon"),
+                                      (key / 4 + (key % 11) / 4 + 0.125).alias("lat"))
+    return spatial.zone_at(points, features, "home")
+
+
 @query("gen_series", """
 with quarter as (
   select id as unique_id, unnest(generate_series(min("time"), max("time"), interval 15 minute)) as ds

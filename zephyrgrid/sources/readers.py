@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeaxis import shift
 from ..operators.clean import nan_to_null
+from ..operators.spatial import near
 from ..schema import DEFAULT_LOOKBACK_HOURS, ENERGY, GEO_FEATURE, HOURLY, ZONES
 
 
@@ -123,10 +124,11 @@ def tariffs(rates: DataFrame, state: str | None = None, utility: str | None = No
     return rates
 
 
-def tariffs_near(rates: DataFrame, lat: float, lon: float, degrees: float = 0.5) -> DataFrame:
-    """Rates whose service point lies in a box around a position."""
-    return rates.filter(F.col("lat").between(lat - degrees, lat + degrees)
-                        & F.col("lon").between(lon - degrees, lon + degrees))
+def tariffs_near(points: DataFrame, rates: DataFrame, km: float, point_id: str, tariff_id: str) -> DataFrame:
+    """Tariffs whose service point lies within ``km`` of a point, with their distance and the rank of it."""
+    found = near(points, rates, km, point_id, tariff_id)
+    nearest = F.row_number().over(Window.partitionBy(point_id).orderBy("km", tariff_id))
+    return found.withColumn("rank", nearest).join(rates.drop("lat", "lon"), tariff_id)
 
 
 def synthetic_series(spine: DataFrame, sigma: float = 5.0, seed: int = 42) -> DataFrame:

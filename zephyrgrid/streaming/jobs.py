@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..session import scratch_path
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def landed_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
                   name_filter: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
@@ -101,3 +105,131 @@ def latest_state(readings: DataFrame, key: str, time: str, columns: Sequence[str
     """Newest reading per key; one row of state per key."""
     newest = F.max_by(F.struct(time, *columns), F.struct(time, *columns)).alias("_r")
     return readings.groupBy(key).agg(newest).select(key, "_r.*")
+
+
+class _Newest(StatefulProcessor):
+    """Keeps the newest row of a key and passes on keys that got a newer one. A timer drops the row once the watermark is
+    ``keep_ms`` past it."""
+
+    def __init__(self, names: list[str], state: T.StructType, keep_ms: int | None):
+        self.names, self.state, self.keep_ms = names, state, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.newest = handle, handle.getValueState("newest", self.state)
+
+    def _due(self, row: tuple) -> int:
+        return row[0] // 1000 + self.keep_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = tuple(self.newest.get()) if self.newest.exists() else None
+        best = before
+        for pdf in rows:
+            for row in pdf[self.names].itertuples(index=False, name=None):
+                if best is None or row[:2] > best[:2]:
+                    best = row
+        if best != before:
+            self.newest.update(best)
+            if self.keep_ms is not None:
+                if before is not None:
+                    self.handle.deleteTimer(self._due(before))
+                self.handle.registerTimer(self._due(best))
+            yield pd.DataFrame([(*key, *best)], columns=["state_key", *self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.newest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_by_key(readings: DataFrame, key: str, time: str, tie: str, columns: Sequence[str], keep: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Keys whose newest reading changed, in update mode: key, time, tie, columns.
+
+    One row of state per key; a batch touches only the keys it brings. Readings may come late or twice: the order is
+    (time, tie), ``tie`` a whole number. With ``keep`` (an interval such as ``30 days``) a timer drops the state of a key once the
+    watermark, ``delay`` behind the newest reading of all, is that far past it, and readings behind the watermark are
+    dropped; without it the state keeps every key. Null keys and times are left out; the columns must not be null.
+    """
+    kinds = dict(readings.dtypes)
+    state = T.StructType.fromDDL(", ".join(["state_time bigint", f"{tie} bigint", *[f"{c} {kinds[c]}" for c in columns]]))
+    known = readings.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    if keep is not None:
+        known = known.withColumn("state_mark", F.col(time).cast("timestamp")).withWatermark("state_mark", delay)
+    rows = known.select(F.col(key).alias("state_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("state_time"), F.col(tie).cast("long").alias(tie),
+                        *columns, *(["state_mark"] if keep is not None else []))
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    changed = rows.groupBy("state_key").transformWithStateInPandas(
+        _Newest(state.names, state, keep_ms), T.StructType([T.StructField("state_key", rows.schema["state_key"].dataType), *state.fields]),
+        "Update", "None" if keep is None else "EventTime")
+    return changed.select(F.col("state_key").alias(key), F.timestamp_micros("state_time").cast("timestamp_ntz").alias(time), tie, *columns)
+
+
+class NewestTable:
+    """Newest row per key as files: every batch adds the changed keys in hash buckets, a base is written now and then.
+
+    A batch that is run again replaces its own folder. Reading merges the newest base and the batches after it; one key's
+    bucket can be read alone. ``compact_every`` bounds how many batches a reader merges.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, time: str, tie: str, buckets: int = 16, compact_every: int = 20):
+        self.spark, self.root, self.schema, self.key, self.time, self.tie = spark, root, schema, key, time, tie
+        self.buckets, self.compact_every = buckets, compact_every
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.schema.names, self._bucket())
+
+    def _done(self, kind: str) -> list[int]:
+        """Numbers of the completed batches or bases."""
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}/n=*/_SUCCESS")
+        found = done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+        return sorted(int(s.getPath().getParent().getName().removeprefix("n=")) for s in found or [])
+
+    def _parts(self) -> tuple[int, list[str]]:
+        base = max(self._done("base"), default=-1)
+        return base, [f"{self.root}/base/n={base}"] * (base >= 0) + [f"{self.root}/batch/n={n}" for n in self._done("batch") if n > base]
+
+    def read(self, keys: Sequence | None = None) -> DataFrame:
+        """Current rows, of some keys only where they are given: then only those keys' buckets are read."""
+        schema = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
+        _, parts = self._parts()
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        rows = None
+        for part in parts:
+            one = self.spark.read.schema(schema).parquet(part)
+            rows = one if rows is None else rows.unionByName(one)
+        if keys is not None:
+            wanted = self.spark.createDataFrame([(k,) for k in keys], T.StructType([self.schema[self.key]]))
+            buckets = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]
+            rows = rows.where(F.col("_bucket").isin(buckets) & F.col(self.key).isin(list(keys)))
+        # One number orders a key's rows: values of fixed width keep the aggregation hash-based.
+        rank = F.unix_micros(F.col(self.time).cast("timestamp")).cast("decimal(38,0)") * F.lit(10 ** 10).cast("decimal(11,0)") * F.lit(10 ** 10).cast("decimal(11,0)")
+        rank = (rank + F.col(self.tie)).cast("decimal(38,0)")
+        newest = rows.withColumn("_rank", rank).groupBy(self.key).agg(*[F.max_by(c, "_rank").alias(c) for c in self.schema.names if c != self.key])
+        return newest.select(*self.schema.names)
+
+    def write(self, changed: DataFrame, batch_id: int) -> None:
+        self._bucketed(changed).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/batch/n={batch_id}")
+        if len(self._parts()[1]) > self.compact_every:
+            self._bucketed(self.read()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/base/n={batch_id}")
+
+
+def mean_beside(readings: DataFrame, others: DataFrame, key: str, time: str, value: str, other_key: str, other_time: str, back: str,
+                length: str = "24 hours", every: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Sliding means of one stream beside the rows of another in [window end - ``back``, window end): key, window_end, ``value``,
+    then the other stream's columns, NULL for a window without any.
+
+    A window joins once its stream's watermark has closed it; state of both sides is dropped, and a window without a partner
+    comes out, when the slower watermark has passed. Later rows are dropped. The streams have different column names.
+    """
+    windows = readings.withWatermark(time, delay).groupBy(key, F.window(time, length, every)).agg(F.avg(value).alias(value))
+    # The window's own time, a microsecond before its end, keeps the watermark that the join needs.
+    windows = windows.withColumn("window_at", F.window_time("window"))
+    within = F.expr(f"{other_time} > window_at - interval {back} and {other_time} <= window_at")
+    joined = windows.join(others.withWatermark(other_time, delay), (F.col(key) == F.col(other_key)) & within, "leftOuter")
+    return joined.select(key, F.col("window.end").cast("timestamp_ntz").alias("window_end"), value, *others.columns)

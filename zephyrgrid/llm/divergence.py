@@ -23,6 +23,7 @@ from .text import bounded_batches, whole
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
+HELD_ROWS = 500_000
 # A-Z in lower case, every other ASCII character but a-z a space; bytes of longer characters stay.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -33,7 +34,7 @@ def collapse(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     Multiplicities are counted by digest; texts combine map-side and are shuffled once, however many copies there are.
     """
     rows = docs.select(whole(F.col(lang).cast("string")).alias("lang"), whole(F.col(source).cast("string")).alias("source"), whole(text).alias("text"))
-    known = rows.withColumn("h", F.sha2("text", 256))
+    known = rows.withColumn("h", F.coalesce(F.sha2("text", 256), F.lit("")))  # never null, and Spark then need not ask
     copies = known.groupBy("lang", "h", "source").agg(F.count("*").alias("copies"))
     # As many entries as a text has different sources.
     sources = copies.groupBy("lang", "h").agg(F.collect_list(F.struct("source", "copies")).alias("sources"))
@@ -68,11 +69,15 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def count_terms(collapsed: DataFrame) -> DataFrame:
-    """Occurrences and documents of each term: lang, source, term, n, docs. Tasks add up their own batches first."""
+    """Occurrences and documents of each term: lang, source, term, n, docs.
+
+    Tasks add up their own batches, some ``HELD_ROWS`` sums at a time; what is left is dealt by language and term, so that
+    sums by source and by language need no other shuffle.
+    """
     schema = "lang string, source string, term string, n long, docs long"
+    keys, sums = ["lang", "source", "term"], [("n", "sum"), ("docs", "sum")]
 
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, term, terms = _terms(batch.column(1))
             if not len(row):
@@ -97,7 +102,22 @@ def count_terms(collapsed: DataFrame) -> DataFrame:
                 pa.array([x[0] for x in names], pa.string()).take(pa.array(group)), pa.array([x[1] for x in names], pa.string()).take(pa.array(group)),
                 terms.take(pa.array(term)), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
 
-    parts = bounded_batches(collapsed).select("lang", "text", "sources").mapInArrow(run, schema)
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in count(batches):
+            held, rows = [*held, part], rows + part.num_rows
+            if rows > HELD_ROWS:
+                yield from add_up(held)
+                held, rows = [], 0
+        if held:
+            yield from add_up(held)
+
+    def add_up(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        added = pa.Table.from_batches(parts).group_by(keys, use_threads=False).aggregate(sums)
+        return added.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select([*keys, "n", "docs"]).to_batches(max_chunksize=50_000)
+
+    parts = bounded_batches(collapsed).select("lang", "text", "sources").mapInArrow(run, schema).repartition("lang", "term")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -125,7 +145,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     * The result has a row per ordered pair of a language's sources. Only pairs that share a term meet in the join.
     """
     rows = docs.select(whole(F.col(lang).cast("string")).alias("lang"), whole(F.col(source).cast("string")).alias("source"))
-    counts = stage(count_terms(collapse(docs, text, lang, source)), "term-counts")
+    counts = count_terms(collapse(docs, text, lang, source))
     spread = Window.partitionBy("lang", "term")
     kept = stage(counts.withColumn("df", F.sum("docs").over(spread)).where(F.col("df") >= min_docs).select("lang", "source", "term", "n"), "kept-terms")
 

@@ -236,3 +236,34 @@ def test_forecaster_surface(waves):
     assert {r.n_forecast for r in f.summary().collect()} == {24}
     assert set(f.results()) == {"series", "summary", "forecast"}
     assert f.evaluate(n_windows=2).count() == 12
+
+
+def test_adf_autolag_equals_separate_fits(spark):
+    rng = np.random.default_rng(12)
+    ar3 = np.zeros(400)
+    for t in range(3, 400):
+        ar3[t] = 0.3 * ar3[t - 1] + 0.2 * ar3[t - 2] + 0.35 * ar3[t - 3] + rng.normal()
+    named = {"ar3": ar3, "walk": np.cumsum(rng.normal(size=300)), "white": rng.normal(size=120), "brief": rng.normal(size=11), "tiny": np.array([1.0, 3.0, 2.0])}
+    df = spark.createDataFrame([(u, i, float(v)) for u, y in named.items() for i, v in enumerate(y)], "unique_id string, i int, y double").selectExpr(
+        "unique_id", "cast(timestamp_seconds(i * 3600) as timestamp_ntz) as ds", "y")
+
+    def ols(y, lags, first):
+        d = np.diff(y)
+        x = np.array([[1.0, y[t - 1], *[d[t - 1 - k] for k in range(1, lags + 1)]] for t in range(first, len(y))])
+        target = d[first - 1:]
+        beta, *_ = np.linalg.lstsq(x, target, rcond=None)
+        rss = ((target - x @ beta) ** 2).sum()
+        se = np.sqrt(rss / (len(x) - len(beta)) * np.linalg.inv(x.T @ x)[1, 1])
+        return len(x) * np.log(rss / len(x)) + 2 * len(beta), beta[1], beta[1] / se, len(x)
+
+    for top in (6, None):
+        found = {r["unique_id"]: r for r in stats.adf_autolag(df, top).collect()}
+        assert set(found) == {"ar3", "walk", "white", "brief"}
+        for uid, row in found.items():
+            y = named[uid]
+            own = min(6 if top else stats.default_max_lag(len(y)), stats.default_max_lag(400) if top is None else 6, (len(y) - 4) // 2)
+            scores = [ols(y, k, own + 1)[0] for k in range(own + 1)]
+            _, gamma, stat, n = ols(y, int(np.argmin(scores)), int(np.argmin(scores)) + 1)
+            assert (row["lags"], row["n_obs"]) == (int(np.argmin(scores)), n)
+            assert row["gamma"] == pytest.approx(gamma, rel=1e-6) and row["adf_stat"] == pytest.approx(stat, rel=1e-6)
+        assert found["ar3"]["lags"] >= 2 and not found["walk"]["stationary"] and found["white"]["stationary"]

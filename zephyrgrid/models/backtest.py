@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import METRICS, metrics_wide, to_metric_rows
 from ..schema import STEP_SECONDS
-from . import arima, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
+from . import arima, boosted, fourier_trend, recurrent, seasonal_ar, seasonal_naive, weekly_sequence
 from .folds import FoldPlan, numbered, test_rows
 
 DEFAULT = FoldPlan(h=12, step_size=12, n_windows=5)
@@ -17,7 +17,7 @@ def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season:
                 options: dict | None = None) -> DataFrame:
     """Test rows of every fold beside the model's forecast: unique_id, fold, ds, horizon_step, y, yhat.
 
-    Rows without a target are left out. ``options`` go to the training of boosted trees.
+    Rows without a target are left out. ``options`` go to the training of boosted trees and of the recurrent network.
     """
     series = series.filter(F.col("y").isNotNull())
     if model == fourier_trend.NAME:
@@ -29,6 +29,8 @@ def predictions(series: DataFrame, model: str, plan: FoldPlan = DEFAULT, season:
             path = seasonal_ar.predict(seasonal_ar.fit(series, season, plan), series, season, plan.h, plan)
         elif model == arima.NAME:
             path = arima.predict_folds(series, plan, season)
+        elif model == recurrent.NAME:
+            path = recurrent.predict_folds(series, plan, **(options or {}))
         elif model == weekly_sequence.NAME:
             scaled = weekly_sequence.scale(series)
             path = weekly_sequence.predict(weekly_sequence.fit(scaled, plan), scaled, plan.h, plan)

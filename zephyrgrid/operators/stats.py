@@ -165,3 +165,112 @@ def adf(series: DataFrame, lags: int = 1) -> DataFrame:
     return sums.mapInPandas(
         solve, "unique_id string, n_obs bigint, gamma double, adf_stat double, p_value double,"
                " crit_1 double, crit_5 double, crit_10 double, stationary boolean")
+
+
+def default_max_lag(n: int) -> int:
+    """Schwert's rule, kept below half of the rows."""
+    return max(0, min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
+
+
+def _adf_rows(values: np.ndarray, lags: int, first: int) -> np.ndarray:
+    """Rows const, lagged level, lagged differences, target of the positions from ``first`` on."""
+    d = np.diff(values)
+    return np.array([[1.0, values[t - 1], *[d[t - 1 - k] for k in range(1, lags + 1)], d[t - 1]] for t in range(first, len(values))]).reshape(-1, lags + 3)
+
+
+def nested_rss(gram: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the models on the first 1, 2, ... columns before the last, the target, in one sweep:
+    in a Cholesky factor each column takes its square from what is left."""
+    size = len(gram)
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    scaled = gram / np.outer(scale, scale)
+    factor = np.zeros((size, size))
+    for j in range(size):
+        left = scaled[j, j] - factor[j, :j] @ factor[j, :j]
+        factor[j, j] = np.sqrt(max(left, 0.0))
+        if factor[j, j] > 1e-9 or j == size - 1:
+            factor[j + 1:, j] = (scaled[j + 1:, j] - factor[j + 1:, :j] @ factor[j, :j]) / max(factor[j, j], 1e-300)
+    return scale[-1] ** 2 * np.maximum(1.0 - np.cumsum(factor[-1, :-1] ** 2), 0.0)
+
+
+def adf_autolag(series: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller test whose number of lagged differences has the least AIC: unique_id, lags, n_obs, gamma, adf_stat,
+    p_value, crit_1, crit_5, crit_10, stationary.
+
+    All numbers of lags up to ``max_lag`` (by the length of the longest series if not given; each series stops at its own
+    rule) are compared on the same rows, from one matrix of sums; the chosen one is fitted to all rows it can use: the few
+    rows more lie at the start of a series, whose first values travel with the sums. Series that are too short get no row.
+    """
+    means = series.filter(F.col("y").isNotNull()).groupBy("unique_id").agg(F.avg("y").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    if max_lag is None:
+        longest = means.agg(F.max("_n")).first()[0] or 0
+        top = default_max_lag(longest)
+    else:
+        top = max_lag
+    level = attach(series.filter(F.col("y").isNotNull()), means, ID, ["ds"]).withColumn("y", F.col("y") - F.col("_m"))
+    rows = with_position(level, ID, ["ds"], "pos")
+    head = rows.filter(F.col("pos") <= top).groupBy("unique_id", "_n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "y"))), lambda p: p["y"]).alias("head"))
+
+    def make(w):
+        lag = [F.col("y")] + [F.lag("y", k).over(w) for k in range(1, top + 2)]
+        return {"values": F.array(*lag)}
+
+    blocks = row_blocks(rows.select("unique_id", "pos", "y"), ID, make, top + 1).filter(F.col("pos") > top)
+    width = top + 3
+
+    def partial(batches):
+        for pdf in batches:
+            out = []
+            for uid, part in pdf.groupby("unique_id", sort=False):
+                v = np.stack(part["values"].to_numpy()).astype(float)
+                d = v[:, :-1] - v[:, 1:]
+                x = np.column_stack([np.ones(len(v)), v[:, 1], d[:, 1:], d[:, 0]])
+                out.append((uid, [float(len(x)), *(x.T @ x)[np.triu_indices(width)]]))
+            yield pd.DataFrame(out, columns=["unique_id", "part"])
+
+    cells = blocks.select("unique_id", "values").mapInPandas(partial, "unique_id string, part array<double>").select(
+        "unique_id", F.posexplode("part").alias("i", "v")).groupBy("unique_id", "i").agg(F.sum("v").alias("v"))
+    sums = cells.groupBy("unique_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for uid, rows_of, first, total in zip(pdf["unique_id"], pdf["_n"], pdf["head"], pdf["sums"]):
+                made = _adf_choice(np.array(first, dtype=float), int(rows_of), None if total is None else np.array(total, dtype=float), top, max_lag)
+                if made is None:
+                    continue
+                lags, n, gamma, stat = made
+                crit = {k: sum(b / n ** i for i, b in enumerate(c)) for k, c in CRITICAL.items()}
+                p = adf_p_value(stat) if np.isfinite(stat) else np.nan
+                out.append((uid, lags, n, gamma, stat, p, crit["1%"], crit["5%"], crit["10%"], bool(p < 0.05)))
+            yield pd.DataFrame(out, columns=["unique_id", "lags", "n_obs", "gamma", "adf_stat", "p_value", "crit_1", "crit_5", "crit_10", "stationary"])
+
+    return head.join(sums, "unique_id", "left").mapInPandas(
+        solve, "unique_id string, lags int, n_obs bigint, gamma double, adf_stat double, p_value double,"
+               " crit_1 double, crit_5 double, crit_10 double, stationary boolean")
+
+
+def _adf_choice(head: np.ndarray, rows: int, sums: np.ndarray | None, top: int, max_lag: int | None) -> tuple[int, int, float, float] | None:
+    """Lags of least AIC and their fit: lags, rows used, coefficient of the level, statistic. Positions beyond ``top`` are in
+    ``sums``; those up to it come from the first values, and so does a whole series that is no longer than they are."""
+    own = min(top, max_lag if max_lag is not None else default_max_lag(rows), (rows - 4) // 2)
+    if own < 0:
+        return None
+
+    def gram_of(lags: int, first: int) -> tuple[np.ndarray, int]:
+        """Sums over positions from ``first`` on for a model of ``lags``."""
+        keep = [*range(lags + 2), top + 2]
+        total, n = np.zeros((lags + 3, lags + 3)), 0
+        if sums is not None:
+            total, n = unpack_gram(sums[1:], top + 3)[np.ix_(keep, keep)], int(sums[0])
+        early = _adf_rows(head[:top + 1], lags, first)
+        return total + early.T @ early, n + len(early)
+
+    gram, n = gram_of(own, own + 1)
+    rss = nested_rss(gram)[1:]
+    scores = n * np.log(np.maximum(rss, 1e-300) / n) + 2 * (np.arange(own + 1) + 2)
+    lags = int(np.argmin(scores))
+    gram, n = gram_of(lags, lags + 1)
+    gamma, stat = _adf_solve(gram[np.triu_indices(lags + 3)], n, lags + 3)
+    return lags, n, gamma, stat

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["observations", "grids", "rollups", "energy", "series", "modelling", "streams"]
+MODULES = ["observations", "grids", "rollups", "energy", "series", "modelling", "streams", "refresh"]
 
 
 def load_all():

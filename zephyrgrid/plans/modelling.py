@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import arima, backtest, boosted, fourier_trend, seasonal_ar, seasonal_naive, weekly_sequence
+from ..models import arima, backtest, boosted, fourier_trend, recurrent, seasonal_ar, seasonal_naive, weekly_sequence
 from ..models.folds import FoldPlan
 from ..models.forecaster import model_summary
 from ..operators.rollup import daily_mean
@@ -102,6 +102,12 @@ def weekly_seq_forecast(t: Tables):
     return weekly_sequence.forecast(daily_mean(t.hourly_mean()), 7)
 
 
+@query("lstm_forecast")
+def lstm_forecast(t: Tables):
+    """A recurrent network over all series, a week ahead."""
+    return recurrent.forecast(stage(daily_mean(t.hourly_mean()), "days"), 7)
+
+
 @query("gbt_forecast")
 def gbt_forecast(t: Tables):
     model = boosted.train(t.series(), "H")

@@ -12,15 +12,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import backtest, fourier_trend, seasonal_ar, seasonal_naive
+from ..models import arima, backtest, boosted, fourier_trend, recurrent, seasonal_ar, seasonal_naive, weekly_sequence
 from ..models.folds import FoldPlan
+from ..models.forecaster import left_out
 from ..operators import grid, rollup
 from ..operators.clean import clean_hourly
-from ..schema import HOURLY, STEP_SECONDS
-from ..session import stage
+from ..schema import HOURLY, MEASURES, STEP_SECONDS
+from ..session import scratch_path, stage
 from ..sinks import merge, tables
+from ..sources.driver_tables import Tables
+from .catalog import query
 
-MODELS = (seasonal_naive.NAME, seasonal_ar.NAME, fourier_trend.NAME)
+MODELS = (seasonal_naive.NAME, seasonal_ar.NAME, fourier_trend.NAME, weekly_sequence.NAME)
+# These work on daily means and look a week ahead.
+WEEKLY = (weekly_sequence.NAME, recurrent.NAME)
+WEEK = 7
 
 
 @dataclass(frozen=True)
@@ -78,13 +84,26 @@ def hourly_series(store: Store, measure: str = "temp") -> DataFrame:
                               F.col(measure).cast("double").alias("y")), "series")
 
 
-def forecast_all(series: DataFrame, h: int = 24, level: int = 80, models: Sequence[str] = MODELS) -> DataFrame:
-    step = STEP_SECONDS["H"]
+def daily_series(series: DataFrame) -> DataFrame:
+    return stage(rollup.daily_mean(series), "daily-series")
+
+
+def forecast_all(series: DataFrame, h: int = 24, level: int = 80, models: Sequence[str] = MODELS, options: dict | None = None) -> DataFrame:
+    """Forecasts of every model named: ``h`` hours ahead from the hourly series, a week ahead from its daily means.
+
+    ``options`` by model name go to training."""
+    step, options = STEP_SECONDS["H"], options or {}
+    days = daily_series(series) if set(models) & set(WEEKLY) else None
+    own = lambda name: options.get(name, {})
     made = {
         seasonal_naive.NAME: lambda: seasonal_naive.forecast(series, h, step).withColumns({
             c: F.lit(None).cast(k) for c, k in (("level", "int"), ("lo", "double"), ("hi", "double"))}),
         seasonal_ar.NAME: lambda: seasonal_ar.forecast(series, h, step, levels=(level,)),
+        arima.NAME: lambda: arima.forecast(series, h, step, levels=(level,)),
         fourier_trend.NAME: lambda: fourier_trend.forecast(series, h, step, levels=(level,)),
+        boosted.NAME: lambda: boosted.forecast(boosted.train(series, "H", **own(boosted.NAME)), series, h, step, "H"),
+        weekly_sequence.NAME: lambda: weekly_sequence.forecast(days, WEEK, (level,)),
+        recurrent.NAME: lambda: recurrent.forecast(days, WEEK, (level,), recurrent.train(days, **own(recurrent.NAME)), own(recurrent.NAME).get("hidden", recurrent.HIDDEN)),
     }
     columns = ["unique_id", "ds", "model", "yhat", "level", "lo", "hi"]
     out = None
@@ -94,15 +113,55 @@ def forecast_all(series: DataFrame, h: int = 24, level: int = 80, models: Sequen
     return out
 
 
-def refresh(store: Store, landed: DataFrame, now, h: int = 24, plan: FoldPlan = FoldPlan(12, 12, 5),
-            models: Sequence[str] = MODELS) -> None:
-    """One run: ingest, roll up, forecast, evaluate, store."""
+def evaluate_all(series: DataFrame, models: Sequence[str] = MODELS, plan: FoldPlan = FoldPlan(12, 12, 5), weekly_plan: FoldPlan = FoldPlan(WEEK, WEEK, 2),
+                 options: dict | None = None) -> DataFrame:
+    """Back-test metrics of every model named, each on its own resolution."""
+    out = None
+    for name in models:
+        weekly = name in WEEKLY
+        part = backtest.evaluate(daily_series(series) if weekly else series, [name], weekly_plan if weekly else plan,
+                                 freq="D" if weekly else "H", options=(options or {}).get(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def left_out_rows(series: DataFrame, forecasts: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Regions without a forecast, by model, with the reason: region_id, model_type, n_obs, n_known, reason."""
+    out = None
+    for name in models:
+        part = left_out(series, forecasts.filter(F.col("model") == name)).select(
+            F.col("unique_id").alias("region_id"), F.lit(name).alias("model_type"), "n_obs", "n_known", "reason")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def refresh(store: Store, landed: DataFrame, now, h: int = 24, plan: FoldPlan = FoldPlan(12, 12, 5), models: Sequence[str] = MODELS,
+            options: dict | None = None) -> None:
+    """One run: ingest, roll up, forecast, evaluate, store, together with who got no forecast and why."""
     added = ingest(store, landed, now)
     roll_days(store, added)
     series = hourly_series(store)
     groups = ["region_id", "model_type"]
-    forecasts = merge.forecast_rows(forecast_all(series, h, models=models))
-    tables.replace_partitions(forecasts, store.path("forecasts"), groups)
-    scores = merge.metric_rows(backtest.evaluate(series, list(models), plan))
+    made = stage(forecast_all(series, h, models=models, options=options), "forecasts")
+    tables.replace_partitions(merge.forecast_rows(made), store.path("forecasts"), groups)
+    # A report of the whole run: a region that has a forecast again must not stay in it.
+    left_out_rows(series, made, models).write.mode("overwrite").parquet(store.path("left_out"))
+    scores = merge.metric_rows(evaluate_all(series, list(models), plan, options=options))
     tables.replace_partitions(scores, store.path("metrics"), groups)
 
+
+FILLED = ", ".join(
+    f"coalesce(last_value({c} ignore nulls) over (w rows between unbounded preceding and current row),"
+    f" first_value({c} ignore nulls) over (w rows between current row and unbounded following)) as {c}" for c in MEASURES)
+
+
+@query("refresh_history", f"""select id as region_name, "time", {FILLED} from hourly window w as (partition by id order by "time")""", " ".join(MEASURES[:-1]))
+def refresh_history(t: Tables):
+    """History after three batches, the last of one hour: the same as after one."""
+    landed = tables.columns_only(t.hourly().withColumnRenamed("id", "region_name"), HOURLY, {})
+    landed = stage(landed, "landed")
+    store = Store(t.spark, scratch_path(t.spark, "refresh"))
+    last = F.lit(landed.agg(F.max("time")).first()[0]).cast("timestamp_ntz")
+    for until in (last - F.expr("interval 12 days"), last - F.expr("interval 1 hour"), last):
+        ingest(store, landed.filter(F.col("time") <= until), last)
+    return store.history().select("region_name", "time", *MEASURES)

@@ -132,6 +132,24 @@ def adf(t: Tables):
     return stats.adf(t.series(), 1)
 
 
+@query("adf_autolag", """
+with l as (select unique_id, pos, y - y1 as d, y1 as x, y1 - y2 as z from (
+    select unique_id, pos, y, lag(y, 1) over w as y1, lag(y, 2) over w as y2 from numbered window w as (partition by unique_id order by ds)) where pos >= 1),
+c as (select unique_id, count(*) as n, regr_sxx(d, x) as xx, regr_sxx(d, z) as zz, regr_sxy(z, x) as xz, regr_sxy(d, x) as xd, regr_sxy(d, z) as zd,
+    regr_syy(d, x) as dd from l where pos >= 2 group by 1),
+b as (select *, (xd * zz - zd * xz) / (xx * zz - xz * xz) as bx, (zd * xx - xd * xz) / (xx * zz - xz * xz) as bz from c),
+r as (select *, dd - xd * xd / xx as rss0, dd - bx * xd - bz * zd as rss1 from b),
+o as (select unique_id, count(*) as n0, regr_slope(d, x) as g0, regr_sxx(d, x) as xx0, regr_syy(d, x) - regr_sxy(d, x) * regr_sxy(d, x) / regr_sxx(d, x) as full0
+  from l group by 1),
+k as (select *, n * ln(rss1 / n) + 6 < n * ln(rss0 / n) + 4 as one from r join o using (unique_id))
+---
+  select unique_id, cast(case when one then 1 else 0 end as int) as lags, case when one then n else n0 end as n_obs, case when one then bx else g0 end as gamma,
+    case when one then bx / sqrt(rss1 / (n - 3) * zz / (xx * zz - xz * xz)) else g0 / sqrt(full0 / (n0 - 2) / xx0) end as adf_stat from k""", "gamma adf_stat")
+def adf_autolag(t: Tables):
+    """The unit-root test with no or one lagged difference, by AIC."""
+    return stats.adf_autolag(t.series(), 1).select("unique_id", "lags", "n_obs", "gamma", "adf_stat")
+
+
 # Forecasts against actuals ------------------------------------------------------------------------
 
 

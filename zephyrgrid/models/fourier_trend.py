@@ -58,9 +58,9 @@ def _penalty(freq: str) -> list[float]:
     return [0.0, 0.0] + [HINGE_PENALTY] * CHANGEPOINTS + [SEASON_PENALTY] * rest
 
 
-def _scales(series: DataFrame) -> DataFrame:
-    """Time origin, span and mean of each series."""
-    return series.groupBy("unique_id").agg(
+def _scales(rows: DataFrame) -> DataFrame:
+    """Time origin, span and mean of each series, over the first fold's training rows: no fold sees rows after its cut."""
+    return rows.filter(F.col("segment") == 0).groupBy("unique_id").agg(
         epoch(F.min("ds")).alias("t0"), (epoch(F.max("ds")) - epoch(F.min("ds"))).alias("_s"),
         F.avg("y").alias("mean"),
     ).select("unique_id", "t0", F.greatest("_s", F.lit(1)).alias("span"), "mean")
@@ -80,12 +80,12 @@ def _partial_sums(keys: Sequence[str]):
 
 def fit(series: DataFrame, freq: str = "H", plan: FoldPlan = FULL) -> DataFrame:
     """One row per series and fold: coefficients, variance and the time scale they refer to."""
-    scales = _scales(series)
     if plan == FULL:
         rows = series.withColumn("segment", F.lit(0))
     else:
         rows = numbered(series).withColumn("segment", plan.segment()).filter(F.col("segment") < plan.n_windows)
-    scaled = attach(rows.filter(F.col("y").isNotNull()), scales, ["unique_id"], ["ds"])
+    scales = _scales(rows)
+    scaled = attach(rows.filter(F.col("y").isNotNull()), scales, ["unique_id"], ["ds"], "inner")
     features = scaled.select("unique_id", "segment", design("ds", freq).alias("x"), (F.col("y") - F.col("mean")).alias("y"))
     partial = features.mapInPandas(
         _partial_sums(["unique_id", "segment"]), "unique_id string, segment int, n_obs bigint, gram array<double>")

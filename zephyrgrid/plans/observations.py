@@ -10,9 +10,9 @@ from ..functions.weather import feels_like, sky_class, wind_u, wind_v
 from ..operators import clean, grid, rollup, spatial
 from ..operators.blocks import time_blocks
 from ..schema import MEASURES
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sinks import merge, tables as files
-from ..sources import readers
+from ..sources import kinds, readers
 from ..sources.driver_tables import Tables
 from .catalog import query
 
@@ -84,16 +84,78 @@ def zone_centroid(t: Tables):
     return readers.zone_centroids(readers.parse_features(t.geo_lines()))
 
 
-@query("series_by_kind", """select 'D' as kind, zone as respondent, period, value from load
-    union all select 'LMP', zone, period, value from price
-    union all select 'NG', zone, period, sum(value) from generation group by all""", "value")
+def _landed(t: Tables):
+    """JSON lines of all kinds, with some that do not fit."""
+    text = lambda c, unit: F.date_format(c, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "hour": "yyyy-MM-dd\'T\'HH"}[unit])
+    def lines(kind, df, **fields):
+        return df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("payload"))
+    zone, value, day = F.col("zone"), F.col("value"), text("period", "day")
+    load, price, made = t.staged("load"), t.staged("price"), t.staged("generation")
+    month = F.trunc("period", "MM")
+    sold = load.groupBy("zone", month.alias("period")).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    every = [
+        lines("D", load, respondent=zone, period=day, value=value), lines("DF", load, respondent=zone, period=text(F.date_add("period", 1), "day"), value=value),
+        lines("NG", made, respondent=zone, period=day, fueltype=F.col("fueltype"), value=value.cast("string")),
+        lines("TI", t.flows(), respondent=F.col("from_zone"), period=text("period", "hour"), fromba=F.col("from_zone"), toba=F.col("to_zone"), value=value),
+        lines("SR", made.filter("fueltype = 'ECONOMY'"), respondent=zone, period=day, type=F.lit("spin"), value=value),
+        lines("NR", made.filter("fueltype = 'SMALL'"), respondent=zone, period=day, type=F.lit("non-spin"), value=value),
+        lines("LMP", price, respondent=zone, period=day, value=value), lines("DAM", price, respondent=zone, period=text(F.date_add("period", 1), "day"), value=value),
+        lines("capacity", t.capacity(), stateid=zone, plantprimaryFuel=F.col("fuel"), capacity=F.col("capacity")),
+        lines("retail", sold, stateid=zone, period=text("period", "month"), price=value / 4, revenue=value, sales=F.when(F.col("n") > 2, F.col("n"))),
+        lines("peak", sold, respondent=zone, period=text("period", "month"), value=value),
+        lines("XX", sold, respondent=zone), lines("D", sold, respondent=zone, period=F.lit("soon"), value=value),
+        lines("LMP", sold, respondent=zone, period=text("period", "month"), value=F.lit("n/a")), lines("D", sold, period=text("period", "month"), value=value),
+        sold.select(F.lit("NG").alias("kind"), F.lit("{").alias("payload")),
+    ]
+    out = every[0]
+    for part in every[1:]:
+        out = out.unionByName(part)
+    return stage(out, "landed-kinds")
+
+
+KIND_ROWS = """
+with sold as (select zone, date_trunc('month', period) as period, max(value) as value, count(*) as n from load group by 1, 2),
+kinds as (
+  select 'D' as kind, zone as respondent, period, '' as item, value from load
+  union all select 'DF', zone, period + interval 1 day, '', value from load
+  union all select 'NG', zone, period, fueltype, value from generation
+  union all select 'TI', from_zone, period, from_zone || '>' || to_zone, value from flows
+  union all select 'SR', zone, period, 'spin', value from generation where fueltype = 'ECONOMY'
+  union all select 'NR', zone, period, 'non-spin', value from generation where fueltype = 'SMALL'
+  union all select 'LMP', zone, period, '', value from price
+  union all select 'DAM', zone, period + interval 1 day, '', value from price
+  union all select 'capacity', zone, null, fuel, capacity from capacity
+  union all select 'retail', zone, period, 'price', value / 4 from sold union all select 'retail', zone, period, 'revenue', value from sold
+  union all select 'retail', zone, period, 'sales', n from sold where n > 2
+  union all select 'peak', zone, period, '', value from sold)
+"""
+
+
+@query("series_by_kind", KIND_ROWS + "---\n  select * from kinds", "value")
 def series_by_kind(t: Tables):
-    ng = t.generation().groupBy("zone", "period").agg(F.sum("value").alias("value"))
-    landed = None
-    for kind, df in (("D", t.load()), ("LMP", t.price()), ("NG", ng)):
-        part = df.select(F.lit(kind).alias("kind"), F.col("zone").alias("respondent"), "period", "value")
-        landed = part if landed is None else landed.unionByName(part)
-    return readers.energy_series(landed, ["D", "LMP", "NG"])
+    """All rows of all kinds."""
+    return kinds.series(kinds.parse(_landed(t)))
+
+
+@query("series_recent", KIND_ROWS + """,
+n as (select max(period) as now from load),
+back(kind, hours) as (values ('D', 24), ('DF', 24), ('NG', 24), ('TI', 24), ('SR', 24), ('NR', 24), ('LMP', 72), ('DAM', 24), ('peak', 43800), ('retail', null), ('capacity', null))
+---
+  select kinds.* from kinds join back using (kind), n where period is null or (period <= now and (hours is null or period >= now - to_hours(hours)))""", "value")
+def series_recent(t: Tables):
+    """Every kind in its own default range before the latest load."""
+    now = t.staged("load").agg(F.max("period")).first()[0]
+    return kinds.series(kinds.parse(_landed(t)), now=str(now))
+
+
+@query("kind_report", KIND_ROWS + """,
+m as (select count(*) as n, count(*) filter (n <= 2) as few from sold)
+---
+  select kind, null as problem, count(*) as n from kinds group by 1 union all select 'XX', 'unknown kind', n from m union all select 'D', 'no period', n from m
+  union all select 'LMP', 'no value', n from m union all select 'D', 'no respondent', n from m union all select 'NG', 'broken payload', n from m
+  union all select 'retail', 'no value', few from m where few > 0""")
+def kind_report(t: Tables):
+    return kinds.report(kinds.parse(_landed(t)))
 
 
 @query("tariff_fallback", """
@@ -153,13 +215,28 @@ def zone_at_point(t: Tables):
 with quarter as (
   select id as unique_id, unnest(generate_series(min("time"), max("time"), interval 15 minute)) as ds
   from hourly group by id),
-stepped as (select *, cast(epoch(ds) as bigint) // 900 as i from quarter)
+stepped as (select *, cast(epoch(ds) as bigint) // 900 as i from quarter),
+hashed as (select *, md5('42|' || unique_id || '|' || i) as h from stepped),
+even as (select *, (cast(('0x' || substr(h, 1, 8)) as ubigint) + 0.5::double) / 4294967296 as u,
+  (cast(('0x' || substr(h, 9, 8)) as ubigint) + 0.5::double) / 4294967296 as v from hashed)
 ---
-  select unique_id, ds, 20 + 10 * sin(2 * pi() * (i % 96) / 96) + 5 * sin(2 * pi() * (i % 672) / 672) as y
-  from stepped""", "y")
+  select unique_id, ds, 20 + 5 * sqrt(-2 * ln(u)) * cos(2 * pi() * v) + 10 * sin(2 * pi() * (i % 96) / 96) + 5 * sin(2 * pi() * (i % 672) / 672) as y
+  from even""", "y")
 def gen_series(t: Tables):
     bounds = t.hourly().groupBy(F.col("id").alias("unique_id")).agg(F.min("time").alias("a"), F.max("time").alias("b"))
-    return readers.synthetic_series(grid.time_spine(bounds, ["unique_id"], "a", "b", "ds", 900), sigma=0.0)
+    return readers.synthetic_series(grid.time_spine(bounds, ["unique_id"], "a", "b", "ds", 900))
+
+
+@query("history_lookup", """
+with facts as (select id, count(*) as n, avg(temp) as mean_temp, max("time") as last from hourly group by 1)
+---
+  select h.id, h."time", h.temp, n, mean_temp, last from hourly h join facts using (id)""", "temp mean_temp")
+def history_lookup(t: Tables):
+    """Stored history beside a fact row per region, both in buckets of the region: the join moves no rows."""
+    hourly = t.staged("hourly").select("id", "time", "temp")
+    facts = hourly.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg("temp").alias("mean_temp"), F.max("time").alias("last"))
+    history = files.write_lookup(hourly, scratch_path(t.spark, "lookup-history"), "id", "time", 8)
+    return history.join(files.write_lookup(facts, scratch_path(t.spark, "lookup-facts"), "id", "last", 8).hint("merge"), "id")
 
 
 # Sinks -----------------------------------------------------------------------------------------

@@ -161,15 +161,13 @@ def forecast_vs_actual(t: Tables):
 
 @query("cv_join", """
 with tests as (select unique_id, ds, y, cast(f as int) as fold from numbered, range(0, 5) r(f)
-  where pos >= n - 12 - (4 - f) * 12 and pos < n - (4 - f) * 12),
-only24 as (select unique_id, ds, yhat from paired where model = 'naive_24')
+  where pos >= n - 12 - (4 - f) * 12 and pos < n - (4 - f) * 12)
 ---
-  select unique_id, ds, fold, y, yhat from tests left join only24 using (unique_id, ds)""", "y yhat")
+  select unique_id, ds, fold, t.y, model, yhat from tests t left join paired using (unique_id, ds)""", "y yhat")
 def cv_join(t: Tables):
     from ..operators.grid import fold_test_rows
     tests = fold_test_rows(t.series(), 12, 12, 5).select("unique_id", "ds", "fold", "y")
-    forecasts = t.paired().filter(F.col("model") == "naive_24").select("unique_id", "ds", "yhat")
-    return metrics.pair(tests, forecasts, "left")
+    return metrics.pair(tests, t.paired().select("unique_id", "ds", "model", "yhat"), "left")
 
 
 @query("semi_ds", """select unique_id, ds, y from series where ds in
@@ -260,14 +258,13 @@ def qq_table(t: Tables):
 
 
 @query("residual_acf", f"""
-with res as (select unique_id, row_number() over (partition by unique_id order by ds) - 1 as pos,
-  y - yhat as y from paired where model = 'naive_24'),
+with res as (select unique_id || '/' || model as unique_id, row_number() over (partition by unique_id, model order by ds) - 1 as pos, y - yhat as y from paired),
 {ACF.replace('from numbered', 'from res').format(top=25)}
 ---
-  select unique_id, cast(lag as int) as lag, acf from acf""", "acf")
+  select split_part(unique_id, '/', 1) as unique_id, split_part(unique_id, '/', 2) as model, cast(lag as int) as lag, acf from acf""", "acf")
 def residual_acf(t: Tables):
-    left = metrics.residuals(t.staged("paired").filter(F.col("model") == "naive_24"))
-    return stats.acf(left.select("unique_id", "ds", F.col("residual").alias("y")), 24)
+    left = metrics.residuals(t.staged("paired"))
+    return stats.autocorrelation(left, 24, "residual", ["unique_id", "model"]).select("unique_id", "model", F.posexplode("acf").alias("lag", "acf"))
 
 
 @query("pct_bounds", """select unique_id, model, ds, yhat, yhat - abs(yhat) * 0.1 as lo, yhat + abs(yhat) * 0.1 as hi, 80 as level

@@ -42,13 +42,6 @@ METRIC = T.StructType([
     T.StructField("metric_value", T.DoubleType()),
 ])
 
-ENERGY = T.StructType([
-    T.StructField("kind", T.StringType()),
-    T.StructField("respondent", T.StringType()),
-    T.StructField("period", T.TimestampNTZType()),
-    T.StructField("value", T.DoubleType()),
-])
-
 GEO_FEATURE = T.StructType([
     T.StructField("properties", T.StructType([
         T.StructField("zoneName", T.StringType()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,3 +102,16 @@ def columns_only(df: DataFrame, schema: T.StructType, renames: dict[str, str]) -
         for f in schema.fields
     ]
     return named.select(*cols)
+
+
+def write_lookup(df: DataFrame, path: str, key: str, order: str, buckets: int = 16) -> DataFrame:
+    """A table for lookups and joins by ``key``: hash buckets of it, sorted by key and ``order`` inside, registered under a
+    name of its own; returns the table.
+
+    A filter on keys reads their buckets only, row groups of other keys and times are skipped by the sort, and tables of
+    the same number of buckets join on ``key`` without an exchange. A key with most rows has all of them in one bucket,
+    in one file per writing task: joins read a bucket in one task, scans and filters read its files apart.
+    """
+    name = f"lookup_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key, order).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)

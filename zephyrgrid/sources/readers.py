@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timeaxis import shift
 from ..operators.clean import nan_to_null
 from ..operators.spatial import near
-from ..schema import DEFAULT_LOOKBACK_HOURS, ENERGY, GEO_FEATURE, HOURLY, ZONES
+from ..schema import GEO_FEATURE, HOURLY, ZONES
 
 
 def normalise_time(df: DataFrame) -> DataFrame:
@@ -68,21 +67,6 @@ def read_envelopes(spark: SparkSession, path: str, row_schema: str) -> DataFrame
     return parse_envelope(spark.read.text(path), "value", row_schema)
 
 
-def lookback(kind: str, now) -> tuple[Column, Column]:
-    """Default range of a series kind: its look-back window up to ``now``."""
-    end = F.lit(now).cast("timestamp_ntz")
-    return shift(end, -DEFAULT_LOOKBACK_HOURS[kind] * 3600), end
-
-
-def energy_series(landed: DataFrame, kinds: Sequence[str], respondents: Sequence[str] | None = None,
-                  start=None, end=None) -> DataFrame:
-    """Series of the given kinds, optionally of some respondents, between two periods."""
-    out = landed.filter(F.col("kind").isin(*kinds))
-    if respondents is not None:
-        out = out.filter(F.col("respondent").isin(*respondents))
-    return in_range(out, "period", start, end).select(*[F.col(f.name).cast(f.dataType) for f in ENERGY.fields])
-
-
 def parse_features(lines: DataFrame, payload: str = "value") -> DataFrame:
     """GeoJSON features, one per line."""
     f = F.from_json(payload, GEO_FEATURE)
@@ -131,6 +115,13 @@ def tariffs_near(points: DataFrame, rates: DataFrame, km: float, point_id: str,
     return found.withColumn("rank", nearest).join(rates.drop("lat", "lon"), tariff_id)
 
 
+def hashed_normal(seed: int, *keys: Column) -> Column:
+    """Standard normal noise that depends on the seed and the keys alone, not on how rows are dealt or in which engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    uniform = lambda at: (F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(F.lit(2 * 3.141592653589793) * uniform(9))
+
+
 def synthetic_series(spine: DataFrame, sigma: float = 5.0, seed: int = 42) -> DataFrame:
     """Test series on a 15-minute spine: 20 + noise + daily and weekly sine waves.
 
@@ -139,5 +130,5 @@ def synthetic_series(spine: DataFrame, sigma: float = 5.0, seed: int = 42) -> Da
     step = F.floor(F.unix_seconds(F.col("ds").cast("timestamp")) / 900)
     daily = F.sin(F.lit(2 * 3.141592653589793) * (step % 96) / 96) * 10
     weekly = F.sin(F.lit(2 * 3.141592653589793) * (step % 672) / 672) * 5
-    noise = F.randn(seed) * sigma if sigma else F.lit(0.0)
+    noise = hashed_normal(seed, F.col("unique_id"), step) * sigma if sigma else F.lit(0.0)
     return spine.withColumn("y", F.lit(20.0) + noise + daily + weekly)

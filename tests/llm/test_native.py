@@ -81,6 +81,28 @@ def test_key_of_one_owner_is_live_however_often_it_recurs(spark):
     assert all(not r["spans"] for r in secrets.scan_secrets(frame, repository="repo").collect())
 
 
+def test_the_query_goes_by_owners(spark, tmp_path):
+    """A key of one owner in 60 documents is live in the query as well, and uses in assignments count, in query and SQL."""
+    own, example = "Qw7" * 10, "Zx9" * 10
+    rows = [(i, f"page {i} {own} end", "en", "s1", 1) for i in range(60)] + [(100 + i, f"token={example} set", "en", f"s{i}", 1) for i in range(3)]
+    rows += [(200, f"see {example} here", "en", None, 1), (201, "no key", None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in e.queries()["op7_secrets"](spark, str(tmp_path)).collect()}
+    assert all(got[i]["spans"].startswith("owned:") for i in range(60)) and got[200]["spans"] == "" and got[200]["n_examples"] == 1
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, con, "op7_secrets", e.queries()["op7_secrets"], e.oracle_sql()["op7_secrets"], str(tmp_path))[0] is None
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{'0123456789abcdef' * 2} é" for _ in range(30_000))
+    frame = spark.createDataFrame([(1, text)], "id int, text string")
+    found = frame.select(F.explode(secrets.spans_of(F.col("text"), secrets.HEX, "hex", 2)).alias("s")).select(
+        F.count("*"), F.sum("s.start"), F.max("s.end"), F.max(F.col("s.end") - F.col("s.start"))).first()
+    assert tuple(found) == (30_000, sum(35 * i for i in range(30_000)), 35 * 29_999 + 32, 32)
+
+
 def test_uses_in_assignments_count_as_owners(spark):
     example, own = "Zx9" * 10, "Qw7" * 10
     rows = [(i, f"token={example} set", f"s{i}") for i in range(10)] + [(20, f"try {example} here", "s1")]

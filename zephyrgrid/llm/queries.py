@@ -99,8 +99,8 @@ good as (select doc_id, source, kind, rank, v, s, s + cast(length(v) as int) as
   when 'hex' then length(v) >= 32 else regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[0-9]') end),
 base as (select * from good where rank < 3),
 loose as (select * from good g where rank = 3 and not exists (select 1 from base b where b.doc_id = g.doc_id and b.s < g.e and g.s < b.e)),
-owners as (select v, count(distinct coalesce(source, '')) as owners, count(distinct (source, doc_id)) as repos from loose group by v),
-own as (select l.*, o.owners <= 3 and o.repos <= 50 as live from loose l join owners o using (v)),
+owners as (select v, count(distinct source) + max(cast(source is null as int)) as owners from good where rank = 3 group by v),
+own as (select l.*, o.owners <= 3 as live from loose l join owners o using (v)),
 every as (select * from base union all select * exclude (live) from own where live),
 joined as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank, e) as spans from every group by doc_id),
 basic as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank, e) as b,
@@ -112,8 +112,8 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from t left join basic using (doc_id) left join joined using (doc_id) left join left_out using (doc_id)
 """)
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """As in the SQL, every document counts as a repository, and only candidates outside base spans as uses."""
-    found = secrets.scan_secrets(table(spark, folder, "documents"), repository="doc_id", count_inside=False)
+    """Documents have owners (sources) and no repositories: a value is live by its owners, however often one of them repeats it."""
+    found = secrets.scan_secrets(table(spark, folder, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans")).alias("spans"), F.col("examples").alias("n_examples"))

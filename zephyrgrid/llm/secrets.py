@@ -31,19 +31,28 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 def spans_of(text: Column, pattern: str, kind: str, rank: int, value: Column | None = None) -> Column:
     """All leftmost matches of a pattern that do not overlap, with their places in code points (end exclusive).
 
-    The pieces between the matches come from splitting the text by the same pattern; places are running lengths.
+    The pieces between the matches come from splitting the text by the same pattern; places are running lengths. They are
+    summed in runs of about the square root of the number of matches, so that no array is copied once a match.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+    run = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(matches)))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(matches) / run).cast("int") - 1), lambda k: F.slice(pairs, k * run + 1, run))
+    total = lambda r: F.aggregate(r, F.lit(0), lambda acc, p: acc + p["gap"] + p["size"])
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(runs, first, lambda acc, r: F.struct((acc["at"] + total(r)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+                         lambda acc: acc["starts"])
 
     def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
+        start = acc["at"] + pair["gap"]
+        end = start + pair["size"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def spans(r: Column, start: Column) -> Column:
+        return F.aggregate(r, F.struct(start.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    return F.when(F.size(matches) > 0, F.flatten(F.zip_with(runs, starts, spans))).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:

@@ -239,8 +239,9 @@ def test_forecaster_surface(waves):
     f = Forecaster(seasonal_naive.NAME, "H").fit(df)
     assert f.forecast(clamp=True).count() == 48
     assert f.forecast_at("H").count() == 48
+    assert f.forecast_at("D").count() == 14
     with pytest.raises(ValueError):
-        f.forecast_at("D")
+        f.forecast_at("15min")
     with pytest.raises(ValueError):
         Forecaster("nothing").fit(df)
     assert {r.n_forecast for r in f.summary().collect()} == {24}

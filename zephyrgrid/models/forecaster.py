@@ -75,7 +75,8 @@ class Forecaster:
     def forecast_at(self, resolution: str) -> DataFrame:
         """The standard horizon of a resolution: 96 quarter hours, 24 hours or 7 days.
 
-        Finer data is rolled up to means first, a model of the same kind is fitted to those and kept; coarser data is refused.
+        Finer data is rolled up to means first, a model of the same kind is fitted to those and kept (``result`` stays
+        the one of the model's own resolution); coarser data is refused.
         """
         if self.series is None:
             raise ValueError("call fit first")
@@ -85,8 +86,7 @@ class Forecaster:
             return self.forecast(HORIZONS[resolution])
         if resolution not in self.coarser:
             self.coarser[resolution] = Forecaster(self.model, resolution, **self.options).fit(roll_up(self.series, resolution))
-        self.result = self.coarser[resolution].forecast(HORIZONS[resolution])
-        return self.result
+        return self.coarser[resolution].forecast(HORIZONS[resolution])
 
     def evaluate(self, h: int = 12, step_size: int = 12, n_windows: int = 5, by=("unique_id", "model")) -> DataFrame:
         if self.series is None:

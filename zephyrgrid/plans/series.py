@@ -264,7 +264,9 @@ with res as (select unique_id || '/' || model as unique_id, row_number() over (p
   select split_part(unique_id, '/', 1) as unique_id, split_part(unique_id, '/', 2) as model, cast(lag as int) as lag, acf from acf""", "acf")
 def residual_acf(t: Tables):
     left = metrics.residuals(t.staged("paired"))
-    return stats.autocorrelation(left, 24, "residual", ["unique_id", "model"]).select("unique_id", "model", F.posexplode("acf").alias("lag", "acf"))
+    found = stats.autocorrelation(left, 24, "residual", ["unique_id", "model"])
+    # Lags that a short series does not reach have no pair of rows.
+    return found.select("unique_id", "model", "n_obs", F.posexplode("acf").alias("lag", "acf")).where("lag < n_obs").drop("n_obs")
 
 
 @query("pct_bounds", """select unique_id, model, ds, yhat, yhat - abs(yhat) * 0.1 as lo, yhat + abs(yhat) * 0.1 as hi, 80 as level

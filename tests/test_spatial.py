@@ -71,3 +71,20 @@ def test_no_nested_loops(spark):
             assert df.count() == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_cells_are_spread_and_unfolded_cells_never_broadcast(spark):
+    rng = np.random.default_rng(5)
+    points = [(i, float(y), float(x)) for i, (x, y) in enumerate(rng.uniform(0, 1.2, (700, 2)))]
+    frame = spark.createDataFrame(points, "p long, lat double, lon double")
+    square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
+    features = spark.createDataFrame([("z", [[square]]), (None, [[square]])], "zone string, coordinates array<array<array<array<double>>>>")
+    found = zone_at(frame, features, "p", hot=20)
+    assert sorted((r["p"], r["zone"]) for r in found.collect()) == [(i, "z") for i, y, x in points if x < 1 and y < 1]
+    close = near(frame, frame.withColumnRenamed("p", "q"), 20.0, "p", "q", hot=20)
+    want = {(a, b) for a, ya, xa in points for b, yb, xb in points if km((ya, xa), (yb, xb)) <= 20.0}
+    assert {(r["p"], r["q"]) for r in close.collect()} == want
+    for df in (found, close):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert [line for line in plan.splitlines() if "_salt" in line and "SortMergeJoin" in line]
+        assert not [line for line in plan.splitlines() if "_salt#" in line and "BroadcastHashJoin" in line]

@@ -1,5 +1,7 @@
 """Keyed state and stream joins over several deliveries, late rows and restarts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,3 +86,25 @@ def test_windows_beside_readings(spark, landing):
     run([*late, ("z", "2024-01-02 00:00:00", 10, 0.0), ("z", "2024-01-02 00:00:00", 11, 0.0)])
     last = run([("z", "2024-01-03 00:00:00", 12, 0.0), ("z", "2024-01-03 00:00:00", 13, 0.0)])
     assert last == [*first, ("a", "05:00", 5.0, None), ("a", "06:00", 5.0, None)]
+
+
+def test_readings_meet_all_their_windows_by_key_and_end(spark, landing):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), f"2024-01-01 {h:02d}:{m:02d}:00", 2 * i + k, float(rng.randrange(8)))
+            for i, (h, m) in enumerate((rng.randrange(8), rng.choice([0, 15, 30, 59])) for _ in range(40)) for k in (0, 1)]
+    stream = landing([*rows, *[("z", "2024-01-03 00:00:00", 1000 + k, 0.0) for k in (0, 1)]])
+    minutes = lambda r: int(r[1][11:13]) * 60 + int(r[1][14:16])
+    for back, reach in (("150 minutes", 150), ("20 minutes", 20)):
+        load = stream.where("event_id % 2 = 1").select(F.col("id").alias("load_id"), F.col("time").alias("load_time"), "event_id")
+        joined = jobs.mean_beside(stream.where("event_id % 2 = 0").select("id", "time", "temp"), load, "id", "time", "temp", "load_id", "load_time", back, "90 minutes", "1 hour")
+        plan = joined._jdf.queryExecution().analyzed().toString()
+        assert any("Join LeftOuter" in line and "_end#" in line and "_other_end#" in line for line in plan.splitlines())
+        got = sorted(((r["id"], (r["window_end"].day - 1) * 1440 + r["window_end"].hour * 60 + r["window_end"].minute, r["temp"], r["event_id"])
+                      for r in jobs.run_append(joined, "meet").where("id <> 'z'").collect()), key=str)
+        want = []
+        for key in "ab":
+            for end in range(30, 1440, 60):
+                warm = [r[3] for r in rows if r[0] == key and r[2] % 2 == 0 and end - 90 <= minutes(r) < end]
+                met = [r[2] for r in rows if r[0] == key and r[2] % 2 == 1 and end - reach <= minutes(r) < end]
+                want += [(key, end, sum(warm) / len(warm), m) for m in met or [None]] if warm else []
+        assert got == sorted(want, key=str) and len({g[3] for g in got}) > 1

@@ -226,10 +226,19 @@ def mean_beside(readings: DataFrame, others: DataFrame, key: str, time: str, val
 
     A window joins once its stream's watermark has closed it; state of both sides is dropped, and a window without a partner
     comes out, when the slower watermark has passed. Later rows are dropped. The streams have different column names.
+
+    A reading is dealt to the ends of its windows, one for each ``every`` in ``back``, and both sides meet by key and end: state is
+    looked up by both, so the work follows the rows that meet, and a key's rows spread over its windows.
     """
     windows = readings.withWatermark(time, delay).groupBy(key, F.window(time, length, every)).agg(F.avg(value).alias(value))
     # The window's own time, a microsecond before its end, keeps the watermark that the join needs.
-    windows = windows.withColumn("window_at", F.window_time("window"))
+    windows = windows.withColumn("window_at", F.window_time("window")).withColumn("_end", F.unix_micros("window.end"))
+    step, size, reach = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (every, length, back))
+    # The ends that a reading belongs to: those of the windows' grid after it and not later than ``back``.
+    at = F.unix_micros(F.col(other_time).cast("timestamp"))
+    first = at - F.pmod(at - F.lit(size % step), F.lit(step)) + F.lit(step)
+    ends = F.when(first <= at + F.lit(reach), F.sequence(first, at + F.lit(reach), F.lit(step)))
+    dealt = others.withWatermark(other_time, delay).select("*", F.explode(ends).alias("_other_end"))
     within = F.expr(f"{other_time} > window_at - interval {back} and {other_time} <= window_at")
-    joined = windows.join(others.withWatermark(other_time, delay), (F.col(key) == F.col(other_key)) & within, "leftOuter")
+    joined = windows.join(dealt, (F.col(key) == F.col(other_key)) & (F.col("_end") == F.col("_other_end")) & within, "leftOuter")
     return joined.select(key, F.col("window.end").cast("timestamp_ntz").alias("window_end"), value, *others.columns)

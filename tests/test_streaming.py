@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,6 +89,38 @@ def test_windows_beside_readings(spark, landing):
     assert last == [*first, ("a", "05:00", 5.0, None), ("a", "06:00", 5.0, None)]
 
 
+def test_tasks_pass_on_the_newest_reading_of_a_key(monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"k{rng.randrange(60)}", rng.randrange(5), rng.choice([None, *range(4)]), i) for i in range(1000)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], k) for c, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["state_key", "state_time", "tie", "x"])
+    order = lambda r: (r["state_time"], r["tie"] is not None, r["tie"] or 0)
+    want = {}
+    for r in batch(rows).to_pylist():
+        want[r["state_key"]] = max(want.get(r["state_key"], r), r, key=order)
+    for held, most in ((1000, 60), (20, 999)):
+        monkeypatch.setattr(jobs, "TASK_KEYS", held)
+        out = [r for b in jobs._newest_in_task(iter([batch(rows[i:i + 30]) for i in range(0, 1000, 30)] + [batch([])])) for r in b.to_pylist()]
+        got = {}
+        for r in out:
+            got[r["state_key"]] = max(got.get(r["state_key"], r), r, key=order)
+        assert {k: order(r) for k, r in got.items()} == {k: order(r) for k, r in want.items()} and len(out) <= most
+    assert list(jobs._newest_in_task(iter([batch([])]))) == []
+
+
+def test_a_timer_waits_for_the_newest_reading(spark, landing):
+    """The state of a goes by its second reading: still held when the first one is due, gone when the second one is."""
+    state, rows, kept = scratch_path(spark, "state"), [], []
+    for delivery in ([("a", "2024-01-01 00:00:00", 1, 1.0)], [("a", "2024-01-08 00:00:00", 2, 2.0)], [("z", "2024-01-13 00:00:00", 3, 3.0)],
+                     [("a", "2024-01-13 00:00:00", None, 4.0), ("z", "2024-02-13 00:00:00", 5, 5.0)], [("z", "2024-02-14 00:00:00", 6, 6.0)]):
+        newest = jobs.newest_by_key(landing(delivery), "id", "time", "event_id", ["temp"], keep="10 days", delay="1 hour")
+        query = newest.writeStream.foreachBatch(lambda b, n: rows.extend(r["temp"] for r in b.collect())).outputMode("update").option(
+            "checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(rows) == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    assert kept[0] == kept[1] == kept[-1] and kept[2] == 2 * kept[0]
+
+
 def test_readings_meet_all_their_windows_by_key_and_end(spark, landing):
     rng = random.Random(6)
     rows = [(rng.choice("ab"), f"2024-01-01 {h:02d}:{m:02d}:00", 2 * i + k, float(rng.randrange(8)))

@@ -6,10 +6,13 @@ and can be started again after a failure.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -17,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keys of which a task holds the newest reading before it passes them on.
+TASK_KEYS = 100_000
 
 
 def landed_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
@@ -107,9 +112,17 @@ def latest_state(readings: DataFrame, key: str, time: str, columns: Sequence[str
     return readings.groupBy(key).agg(newest).select(key, "_r.*")
 
 
+def _later(row: tuple, than: tuple | None) -> bool:
+    """By (time, tie); a row without a tie comes before one of the same time."""
+    return than is None or (row[0], row[1] is not None, row[1] or 0) > (than[0], than[1] is not None, than[1] or 0)
+
+
 class _Newest(StatefulProcessor):
-    """Keeps the newest row of a key and passes on keys that got a newer one. A timer drops the row once the watermark is
-    ``keep_ms`` past it."""
+    """Keeps the newest row of a key and passes on keys that got a newer one.
+
+    A key has one timer, which drops the row once the watermark is ``keep_ms`` past it; a timer that finds a newer row is set
+    again for that one. So a change costs a read and a write of the state, as each call is a round trip to the JVM.
+    """
 
     def __init__(self, names: list[str], state: T.StructType, keep_ms: int | None):
         self.names, self.state, self.keep_ms = names, state, keep_ms
@@ -121,46 +134,77 @@ class _Newest(StatefulProcessor):
         return row[0] // 1000 + self.keep_ms
 
     def handleInputRows(self, key, rows, timerValues):
-        before = tuple(self.newest.get()) if self.newest.exists() else None
+        before = self.newest.get()
         best = before
-        for pdf in rows:
-            for row in pdf[self.names].itertuples(index=False, name=None):
-                if best is None or row[:2] > best[:2]:
-                    best = row
-        if best != before:
+        for row in rows:
+            found = tuple(row[n] for n in self.names)
+            if _later(found, best):
+                best = found
+        if best is not before:
             self.newest.update(best)
-            if self.keep_ms is not None:
-                if before is not None:
-                    self.handle.deleteTimer(self._due(before))
+            if self.keep_ms is not None and before is None:
                 self.handle.registerTimer(self._due(best))
-            yield pd.DataFrame([(*key, *best)], columns=["state_key", *self.names])
+            yield Row("state_key", *self.names)(*key, *best)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.newest.clear()
+        row = self.newest.get()
+        if row is not None and self._due(row) >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._due(row))
+        else:
+            self.newest.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _newest_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are the newest ones of their keys among those around them; ``state_key``, ``state_time`` and the tie come first."""
+    def reduced(held: list[pa.RecordBatch]) -> pa.Table:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = pc.dictionary_encode(rows.column(0)).combine_chunks().indices.to_numpy(zero_copy_only=False)
+        known = pc.is_valid(rows.column(2)).to_numpy()
+        tie = pc.fill_null(rows.column(2), 0).to_numpy()
+        order = np.lexsort((tie, known, rows.column(1).to_numpy(), key))
+        last = np.append(key[order][1:] != key[order][:-1], True)
+        return rows.take(pa.array(order[last]))
+
+    held, fresh = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            fresh += batch.num_rows
+        if fresh >= 4 * TASK_KEYS:
+            table = reduced(held)
+            held, fresh = table.to_batches(), 0
+            if table.num_rows > TASK_KEYS:
+                yield from held
+                held = []
+    if held:
+        yield from reduced(held).to_batches()
+
+
 def newest_by_key(readings: DataFrame, key: str, time: str, tie: str, columns: Sequence[str], keep: str | None = None, delay: str = "1 day") -> DataFrame:
     """Keys whose newest reading changed, in update mode: key, time, tie, columns.
 
     One row of state per key; a batch touches only the keys it brings. Readings may come late or twice: the order is
     (time, tie), ``tie`` a whole number. With ``keep`` (an interval such as ``30 days``) a timer drops the state of a key once the
     watermark, ``delay`` behind the newest reading of all, is that far past it, and readings behind the watermark are
-    dropped; without it the state keeps every key. Null keys and times are left out; the columns must not be null.
+    dropped; without it the state keeps every key. Null keys and times are left out.
+
+    Each task first drops readings that another one of the key outdates, so that fewer rows move to the state; the newest
+    reading of all is never among them, and what is late by its newest reading is late in whole.
     """
     kinds = dict(readings.dtypes)
     state = T.StructType.fromDDL(", ".join(["state_time bigint", f"{tie} bigint", *[f"{c} {kinds[c]}" for c in columns]]))
     known = readings.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    rows = known.select(F.col(key).alias("state_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("state_time"), F.col(tie).cast("long").alias(tie), *columns)
+    rows = rows.mapInArrow(_newest_in_task, rows.schema)
     if keep is not None:
-        known = known.withColumn("state_mark", F.col(time).cast("timestamp")).withWatermark("state_mark", delay)
-    rows = known.select(F.col(key).alias("state_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("state_time"), F.col(tie).cast("long").alias(tie),
-                        *columns, *(["state_mark"] if keep is not None else []))
+        rows = rows.withColumn("state_mark", F.timestamp_micros("state_time")).withWatermark("state_mark", delay)
     keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    changed = rows.groupBy("state_key").transformWithStateInPandas(
+    changed = rows.groupBy("state_key").transformWithState(
         _Newest(state.names, state, keep_ms), T.StructType([T.StructField("state_key", rows.schema["state_key"].dataType), *state.fields]),
         "Update", "None" if keep is None else "EventTime")
     return changed.select(F.col("state_key").alias(key), F.timestamp_micros("state_time").cast("timestamp_ntz").alias(time), tie, *columns)
